@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import leakage, neighbours, seen
+from keyloom.llm import leakage, markov, neighbours, seen
 from keyloom.runtime import read_table
 
 _KEYS = ("arrival_id", "table_id", "primary_key", "key_vector")
@@ -19,6 +19,15 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_rate(arrivals, seen.seen_before(arrivals, *_KEYS), *_KEYS)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return markov.VectorClusters(read_table(spark, d, "vectors")).mutual_members()
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of each cluster."""
+    return markov.VectorClusters(read_table(spark, d, "vectors")).summary()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest_neighbours(read_table(spark, d, "vectors")))
 
@@ -32,7 +41,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), with_spans=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p6_found, p8_found, p8_passages)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_clusters, p6_found, p8_found, p8_passages)}
 
 _SEEN = """SELECT arrival_id FROM (SELECT arrival_id, row_number() OVER
     (PARTITION BY table_id, coalesce(key_vector, [primary_key]) ORDER BY arrival_id) AS rn FROM key_arrivals) WHERE rn > 1"""
