@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import leakage, markov, neighbours, seen
+from keyloom.llm import leakage, markov, neighbours, packing, residue, seen
 from keyloom.runtime import read_table
 
 _KEYS = ("arrival_id", "table_id", "primary_key", "key_vector")
@@ -32,6 +32,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.neighbour_pairs(neighbours.nearest_neighbours(read_table(spark, d, "vectors")))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read_table(spark, d, "documents"), read_table(spark, d, "pack_limits"))
+
+
+def p7_fill_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and unused space of each capacity."""
+    return packing.fill_rate(p7_containers(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -41,7 +50,11 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), with_spans=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_clusters, p6_found, p8_found, p8_passages)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(read_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_clusters, p6_found, p7_containers, p7_fill_rate, p8_found, p8_passages, p9_found)}
 
 _SEEN = """SELECT arrival_id FROM (SELECT arrival_id, row_number() OVER
     (PARTITION BY table_id, coalesce(key_vector, [primary_key]) ORDER BY arrival_id) AS rn FROM key_arrivals) WHERE rn > 1"""
