@@ -53,7 +53,7 @@ _statement("point_lookup", "orders", f"select {_O} from ks1.orders where o_order
 _statement("point_lookup_zero_key", "orders", f"select {_O} from ks1.orders where o_orderkey = 0", f"SELECT {_O} FROM orders WHERE o_orderkey = 0")
 _statement("point_lookup_absent", "orders", f"select {_O} from ks1.orders where o_orderkey = 9999999999", f"SELECT {_O} FROM orders WHERE o_orderkey = 9999999999")
 _statement("multi_get_in", "orders", f"select {_O} from ks1.orders where o_orderkey in (3, 1, 40, 1, 1200, 0)", f"SELECT {_O} FROM orders WHERE o_orderkey IN (3, 1, 40, 1200, 0)")
-_statement("composite_point", "customer", "select * from ks1.customer where c_nationkey = 7 and c_custkey = 7", "SELECT * FROM customer WHERE c_nationkey = 7 AND c_custkey = 7")
+_statement("composite_point", "customer", "select * from ks1.customer where c_nationkey = 16 and c_custkey = 2", "SELECT * FROM customer WHERE c_nationkey = 16 AND c_custkey = 2")
 _IN = "c_nationkey IN (1, 2, 3, 4, 5, 6, 7, 8) AND c_custkey IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)"
 _statement("composite_in_cross_product", "customer", f"select * from ks1.customer where {_IN}", f"SELECT * FROM customer WHERE {_IN}")
 _statement("range_single_level", "part", "select p_partkey, p_name, p_size from ks1.part where p_partkey >= 150", "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey >= 150")
