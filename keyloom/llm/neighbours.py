@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.graph import VectorGraph, build_graph
-from keyloom.runtime import materialize, shuffle_partitions
+from keyloom.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,7 @@ class GraphParams:
     shard_rows: int = 16_000
     pivots_per_shard: int = 64
     max_pivots: int = 4096
+    max_tasks: int = 10_000
 
 
 def usable_vectors(df: DataFrame, vec_id: str = "vec_id", table: str = "table_id", column: str = "col_id", dimension: str = "dimension", vec: str = "vec") -> DataFrame:
@@ -91,8 +92,8 @@ def _assigner(pivots):
     return assign
 
 
-def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> DataFrame:
-    """(g, id, vec, shard) with shards of about ``shard_rows`` rows, written once."""
+def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, int]:
+    """(g, id, vec, shard) with shards of about ``shard_rows`` rows, and their number."""
     spark = vectors.sparkSession
     sizes = {r.g: r["count"] for r in vectors.groupBy("g").count().collect()}  # one row per vector column
     pivots: dict[str, np.ndarray] = {}
@@ -119,11 +120,11 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> DataFrame:
                 mapping.append((g, cell, parts, part, next_shard + lightest))
         next_shard += n_shards
     if not mapping:
-        return placed.select("g", "id", "vec", F.lit(0).alias("shard"))
+        return placed.select("g", "id", "vec", F.lit(0).alias("shard")), 1
     table = spark.createDataFrame(mapping, "g string, cell int, parts int, part int, shard int")
     by_cell = table.select("g", "cell", "parts").distinct()
     split = placed.join(F.broadcast(by_cell), ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")).drop("parts")
-    return split.join(F.broadcast(table.drop("parts")), ["g", "cell", "part"]).select("g", "id", "vec", "shard")
+    return split.join(F.broadcast(table.drop("parts")), ["g", "cell", "part"]).select("g", "id", "vec", "shard"), next_shard
 
 
 _BLOB = "g string, shard int, n int, d int, ids binary, rows binary, graph binary, entries binary, kth binary, home_ids binary, home_sims binary"
@@ -154,7 +155,12 @@ def _exact_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np
 
 
 def _builder(p: GraphParams):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [pdf for pdf in batches if len(pdf)]  # one shard: at most about shard_rows rows
+        if parts:
+            yield one(pd.concat(parts))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         ids = pdf["id"].to_numpy(dtype=np.int64)
         rows = np.vstack(pdf["vec"].to_numpy()).astype(np.float32)
@@ -186,21 +192,20 @@ def _home(p: GraphParams):
 
 
 def _far(p: GraphParams):
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            rows = np.frombuffer(r.rows, np.float32).reshape(r.n, r.d)
-            ids = np.frombuffer(r.ids, np.int64)
-            g = VectorGraph(_unit(rows), np.frombuffer(r.graph, np.int32).reshape(r.n, -1), np.frombuffer(r.entries, np.int32))
-            queries = np.frombuffer(r.q_rows, np.float32).reshape(-1, r.d)
-            q_ids, kth = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.kth, np.float32)
-            unit = _unit(queries)
-            for beam, at in ((p.narrow_beam, np.flatnonzero(kth >= p.near)), (p.far_beam, np.flatnonzero(kth < p.near))):
-                if len(at):
-                    cand, _ = g.search(unit[at], g.entry_points(unit[at]), beam)
-                    best, sims = _exact_top(queries[at], q_ids[at], rows, ids, cand[:, : p.k + 6], p.k)
-                    out.append(_pairs(q_ids[at], best, sims))
-        return pd.concat(out).assign(g=pdf["g"].iloc[0])
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                rows = np.frombuffer(r.rows, np.float32).reshape(r.n, r.d)
+                ids = np.frombuffer(r.ids, np.int64)
+                g = VectorGraph(_unit(rows), np.frombuffer(r.graph, np.int32).reshape(r.n, -1), np.frombuffer(r.entries, np.int32))
+                queries = np.frombuffer(r.q_rows, np.float32).reshape(-1, r.d)
+                q_ids, kth = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.kth, np.float32)
+                unit = _unit(queries)
+                for beam, at in ((p.narrow_beam, np.flatnonzero(kth >= p.near)), (p.far_beam, np.flatnonzero(kth < p.near))):
+                    if len(at):
+                        cand, _ = g.search(unit[at], g.entry_points(unit[at]), beam)
+                        best, sims = _exact_top(queries[at], q_ids[at], rows, ids, cand[:, : p.k + 6], p.k)
+                        yield _pairs(q_ids[at], best, sims).assign(g=r.g)
 
     return search
 
@@ -210,18 +215,23 @@ _PAIRS = "q bigint, c bigint, sim double, g string"
 
 def build_index(reps: DataFrame, p: GraphParams) -> DataFrame:
     """One row per shard: ids, vectors, graph and the neighbours found at home."""
-    sharded = shard_by_pivots(reps, p)
-    return materialize(sharded.groupBy("shard").applyInPandas(_builder(p), _BLOB), "graphs")
+    sharded, n_shards = shard_by_pivots(reps, p)
+    # one task a shard, whatever the hash of its number
+    return materialize(sharded.repartitionById(n_shards, "shard").mapInPandas(_builder(p), _BLOB), "graphs")
 
 
 def search_index(index: DataFrame, p: GraphParams) -> DataFrame:
     """(g, q, c, sim): candidates of every indexed vector from every shard of its column."""
     home = index.select("g", "n", "ids", "home_ids", "home_sims").mapInPandas(_home(p), _PAIRS)
-    other = index.select("g", F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "kth")
-    graphs = index.select("g", "shard", "n", "d", "ids", "rows", "graph", "entries")
-    # one row per ordered pair of shards of a column: blocks of queries against graphs
-    tasks = graphs.join(other, "g").where("shard <> q_shard")
-    far = tasks.repartition(shuffle_partitions(index.sparkSession), "shard", "q_shard").groupBy("shard", "q_shard").applyInPandas(_far(p), _PAIRS)
+    shards = index.select("g", "shard").collect()  # one row per shard
+    pairs = [(a.shard, b.shard) for a in shards for b in shards if a.g == b.g and a.shard != b.shard]
+    if not pairs:
+        return home
+    # one row and one task per ordered pair of shards of a column: block of queries, graph
+    numbered = index.sparkSession.createDataFrame([(a, b, i % p.max_tasks) for i, (a, b) in enumerate(pairs)], "shard int, q_shard int, task int")
+    other = index.select(F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "kth")
+    tasks = index.select("g", "shard", "n", "d", "ids", "rows", "graph", "entries").join(numbered, "shard").join(other, "q_shard")
+    far = tasks.repartitionById(min(len(pairs), p.max_tasks), "task").mapInPandas(_far(p), _PAIRS)
     return home.unionByName(far)
 
 
