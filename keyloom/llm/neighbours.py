@@ -1,6 +1,6 @@
 """Problem 6: the k most similar vectors of every vector.
 
-The usable vectors of a column are cut into shards of at most ``shard_rows``; each shard gets
+The usable vectors of a column are cut into shards of 16,000 to 64,000 rows; each shard gets
 a robust-pruned directed graph (:mod:`keyloom.llm.graph`). Every vector searches the graph of
 its own shard, starting from itself, and by beam search the graph of every other shard of its
 column. The nearest of each shard are re-ranked by the exact cosine in double precision; a
@@ -13,8 +13,9 @@ sample only decides where. A vector whose own shard already holds k neighbours a
 ``near`` searches the other shards with the narrow beam: what could still beat those is so
 close that a short search meets it.
 
-Cost: a column of n vectors in S = n / shard_rows shards takes n * S searches of logarithmic
-length; no pair of vectors is compared outside a search.
+Cost: a column of n vectors in S shards takes n * S searches of logarithmic length, with S
+growing as the square root of n up to 64,000 rows a shard; no pair of vectors is compared
+outside a search.
 
 Defined results: a vector is usable if it is not null, has ``dimension`` elements, none of
 them null, and a positive finite norm; others neither get nor are neighbours. Repeated vectors are
@@ -41,17 +42,23 @@ from keyloom.runtime import materialize
 class GraphParams:
     k: int = 5
     degree: int = 32
-    build_beam: int = 48
+    build_beam: int = 64
     alpha: float = 1.2
-    home_beam: int = 64
+    home_beam: int = 96
     far_beam: int = 128
     narrow_beam: int = 32
     near: float = 0.8
-    shard_rows: int = 16_000
+    min_shard_rows: int = 16_000
+    max_shard_rows: int = 64_000
     pivots_per_shard: int = 64
     max_pivots: int = 4096
     max_tasks: int = 10_000
 
+    def shard_rows(self, n: int) -> int:
+        """Rows of a shard of a column with n vectors. It grows with the square root of n, so
+        building (one task a shard) and searching (n searches a shard) stay in balance."""
+        return int(min(self.max_shard_rows, max(self.min_shard_rows, 80 * n**0.5)))
+
 
 def usable_vectors(df: DataFrame, vec_id: str = "vec_id", table: str = "table_id", column: str = "col_id", dimension: str = "dimension", vec: str = "vec") -> DataFrame:
     """(g, id, vec) of the usable vectors; g names the vector column and its dimension."""
@@ -98,9 +105,10 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, int]
     sizes = {r.g: r["count"] for r in vectors.groupBy("g").count().collect()}  # one row per vector column
     pivots: dict[str, np.ndarray] = {}
     for g, n in sizes.items():
-        wanted = min(p.max_pivots, p.pivots_per_shard * -(-n // p.shard_rows))
-        if n <= p.shard_rows:
+        rows_each = p.shard_rows(n)
+        if n <= rows_each:
             continue
+        wanted = min(p.max_pivots, p.pivots_per_shard * -(-n // rows_each))
         every = max(1, n // wanted)
         rows = vectors.where((F.col("g") == g) & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()  # at most max_pivots
         pivots[g] = _unit(np.array([r.vec for r in rows], dtype=np.float32))
@@ -110,10 +118,11 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, int]
     mapping, next_shard = [], 0
     for g in sorted(sizes):
         mine = sorted(((r["count"], r.cell) for r in cells if r.g == g), reverse=True)
-        n_shards = -(-sizes[g] // p.shard_rows)
+        rows_each = p.shard_rows(sizes[g])
+        n_shards = -(-sizes[g] // rows_each)
         load = [0] * n_shards
         for n, cell in mine:
-            parts = -(-n // p.shard_rows)
+            parts = -(-n // rows_each)
             for part in range(parts):
                 lightest = min(range(n_shards), key=load.__getitem__)
                 load[lightest] += n // parts
