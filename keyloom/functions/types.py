@@ -163,7 +163,8 @@ def checked(col: Column, ctype: ColumnType, name: str, wide_long: bool = False)
         wide = col.cast("decimal(38,0)")
         fine = col.isNull() | ((wide >= 0) & (wide <= F.lit(Decimal(ctype.limit(wide_long)))))
     elif kind.family == "vector":
-        fine = col.isNull() | (F.size(col) == ctype.dimension)
+        target = T.ArrayType(target.elementType, True)  # the check keeps nulls out
+        fine = col.isNull() | ((F.size(col) == ctype.dimension) & ~F.exists(col, lambda x: x.isNull()))
         limit = ColumnType(KINDS[kind.element]).limit(wide_long)
         if limit is not None:
             fine = fine & (col.isNull() | F.forall(col, lambda x: (x >= 0) & (x.cast("decimal(38,0)") <= F.lit(Decimal(limit)))))
