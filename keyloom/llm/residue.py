@@ -175,13 +175,13 @@ _LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing adipisicin
 _KEYBOARD = frozenset("asdf asdfg asdfgh asdfghjkl qwer qwert qwerty qwertz zxcv jkl hjkl sdfg dfgh fghj".split())
 
 
-def _dense(line: str, pattern: re.Pattern, least: int) -> bool:
+def _dense(line: str, pattern: re.Pattern, least: int, share: float = 3.5) -> bool:
     """Enough matches, and few other words beside them."""
     found = pattern.findall(line)
     if len(found) < least:
         return False
     other = len(_WORDS.findall(pattern.sub(" ", line)))
-    return other <= 3 if len(found) == 1 else other <= 3.5 * len(found)
+    return other <= 3 if len(found) == 1 else other <= share * len(found)
 
 
 def _repetitive(words: list[str]) -> bool:
@@ -194,7 +194,7 @@ def _repetitive(words: list[str]) -> bool:
 def is_residue(line: str) -> bool:
     """Whether a normalised line is page-production text as a whole."""
     line = _BULLET.sub("", line)
-    if (_MARKS.search(line) and _dense(line, _PLACEHOLDER, 1)) or _dense(line, _UNFILLED, 2):
+    if (_MARKS.search(line) and _dense(line, _PLACEHOLDER, 1)) or _dense(line, _UNFILLED, 2, 2.0):
         return True
     words = _WORDS.findall(line)
     if _repetitive(words):

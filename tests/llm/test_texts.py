@@ -126,7 +126,7 @@ RESIDUE = [
 CONTENT = [
     "The console draws its charts with JavaScript, but the store can be queried without it.", 'Le message "Veuillez activer JavaScript" vient du portail.', "Our loader fills the template {{ table }} with the real name before it sends the statement to the node.",
     'Log excerpt: "Error 502: bad gateway" appeared 12 times while the writer was idle.', "For the load test we stored lorem ipsum strings of 3 bytes in a column.", "Please enable JavaScript in the admin viewer if you want live counters; nothing else needs it.",
-    "The row reader returns undefined order for range scans, and that is stated in the manual.", "A TODO in the source says that the index must be rebuilt.", "select * from t where a = ? and b > ?", "> 404 Not Found", "Menu", "", "404 rows were read in 503 ms.", "Keys named asdf and test belong to the test runner and may be deleted.",
+    "The row reader returns undefined order for range scans, and that is stated in the manual.", "A TODO in the source says that the index must be rebuilt.", "select * from t where a = ? and b > ?", "> 404 Not Found", "Menu", "", "404 rows were read in 503 ms.", "Otherwise a null bitmap replaces a null bitmap.", "None of the two null rows was read.", "Keys named asdf and test belong to the test runner and may be deleted.",
 ]
 
 
