@@ -1,6 +1,6 @@
 """Problem 6: the k most similar vectors of every vector.
 
-The usable vectors of a column are cut into shards of 16,000 to 64,000 rows; each shard gets
+The usable vectors of a column are cut into shards of 16,000 to 96,000 rows; each shard gets
 a robust-pruned directed graph (:mod:`keyloom.llm.graph`). Every vector searches the graph of
 its own shard, starting from itself, and by beam search the graph of every other shard of its
 column. The nearest of each shard are re-ranked by the exact cosine in double precision; a
@@ -14,7 +14,7 @@ sample only decides where. A vector whose own shard already holds k neighbours a
 close that a short search meets it.
 
 Cost: a column of n vectors in S shards takes n * S searches of logarithmic length, with S
-growing as the square root of n up to 64,000 rows a shard; no pair of vectors is compared
+growing as the square root of n up to 96,000 rows a shard; no pair of vectors is compared
 outside a search.
 
 Defined results: a vector is usable if it is not null, has ``dimension`` elements, none of
@@ -46,10 +46,10 @@ class GraphParams:
     alpha: float = 1.2
     home_beam: int = 96
     far_beam: int = 128
-    narrow_beam: int = 32
+    narrow_beam: int = 24
     near: float = 0.8
     min_shard_rows: int = 16_000
-    max_shard_rows: int = 64_000
+    max_shard_rows: int = 96_000
     pivots_per_shard: int = 64
     max_pivots: int = 4096
     max_tasks: int = 10_000
@@ -57,7 +57,7 @@ class GraphParams:
     def shard_rows(self, n: int) -> int:
         """Rows of a shard of a column with n vectors. It grows with the square root of n, so
         building (one task a shard) and searching (n searches a shard) stay in balance."""
-        return int(min(self.max_shard_rows, max(self.min_shard_rows, 80 * n**0.5)))
+        return int(min(self.max_shard_rows, max(self.min_shard_rows, 120 * n**0.5)))
 
 
 def usable_vectors(df: DataFrame, vec_id: str = "vec_id", table: str = "table_id", column: str = "col_id", dimension: str = "dimension", vec: str = "vec") -> DataFrame:
