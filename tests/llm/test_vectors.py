@@ -140,3 +140,14 @@ def test_mutual_checks_blocks(spark):
     data = [(label, i, [float(v) for v in x]) for label, xs in ((1, good), (2, arc), (3, bad)) for i, x in enumerate(xs)]
     df = spark.createDataFrame(data, "label long, id long, vec array<float>")
     assert sorted(r.label for r in mutual(df, ClusterParams(block_rows=7)).collect()) == [1, 2]
+
+
+def test_summary_reports_markov_clusters(spark):
+    """A chain is one component but no cluster of similar vectors."""
+    data, df = frame(spark, [(1, 1, chain(4, list(range(0, 340, 20)))), (2, 1, chain(4, [0, 1, 2]))])
+    found = VectorClusters(df).summary().collect()
+    assert sum(r["size"] for r in found) == len(data)
+    in_chain = [r for r in found if r.g.startswith("1/")]
+    assert len(in_chain) > 1 and max(r["size"] for r in in_chain) < 9
+    assert [(r["size"], r.mutual) for r in found if r.g.startswith("2/")] == [(3, True)]
+    assert all(not r.mutual for r in in_chain if r["size"] > 2)
