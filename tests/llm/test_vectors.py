@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from keyloom.llm.graph import build_graph
-from keyloom.llm.markov import ClusterParams, VectorClusters, mutual
+from keyloom.llm.markov import ClusterParams, VectorClusters, markov_clusters, markov_flow, mutual
 from keyloom.llm.neighbours import GraphParams, nearest_neighbours, neighbour_pairs
 
 SCHEMA = "vec_id long, table_id long, col_id int, dimension int, vec array<float>, g string, id int"
@@ -151,3 +151,15 @@ def test_summary_reports_markov_clusters(spark):
     assert len(in_chain) > 1 and max(r["size"] for r in in_chain) < 9
     assert [(r["size"], r.mutual) for r in found if r.g.startswith("2/")] == [(3, True)]
     assert all(not r.mutual for r in in_chain if r["size"] > 2)
+
+
+def test_flow_runs_until_it_converges(spark):
+    """Two cliques of six with one link between them, and a star."""
+    links = [(a + i, a + j, 0.95) for a in (0, 6) for i in range(6) for j in range(i + 1, 6)] + [(5, 6, 0.91)] + [(20, 21 + i, 0.95) for i in range(10)]
+    graph = spark.createDataFrame(links, "a long, b long, sim double")
+    clusters = {}
+    for r in markov_clusters(markov_flow(graph, ClusterParams())).collect():
+        clusters.setdefault(r.label, set()).add(r.id)
+    assert sorted(map(sorted, clusters.values())) == [list(range(6)), list(range(6, 12)), list(range(20, 31))]
+    with pytest.raises(RuntimeError):
+        markov_flow(graph, ClusterParams(max_rounds=1))
