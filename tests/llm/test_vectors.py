@@ -163,3 +163,10 @@ def test_flow_runs_until_it_converges(spark):
     assert sorted(map(sorted, clusters.values())) == [list(range(6)), list(range(6, 12)), list(range(20, 31))]
     with pytest.raises(RuntimeError):
         markov_flow(graph, ClusterParams(max_rounds=1))
+
+
+@pytest.mark.parametrize("n", [100, 36_000, 250_000, 600_000, 50_000_000])
+def test_miss_rate_holds_at_every_size(n):
+    p = ClusterParams()
+    bits, tables = p.signature(n)
+    assert tables >= 16 and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= 1e-3
