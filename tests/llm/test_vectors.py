@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from keyloom.llm.graph import build_graph
-from keyloom.llm.markov import ClusterParams, VectorClusters, markov_clusters, markov_flow, mutual
+from keyloom.llm.markov import ClusterParams, VectorClusters, markov_clusters, markov_flow, mutual, similarity_graph, thin_links
 from keyloom.llm.neighbours import GraphParams, nearest_neighbours, neighbour_pairs
 
 SCHEMA = "vec_id long, table_id long, col_id int, dimension int, vec array<float>, g string, id int"
@@ -170,3 +170,40 @@ def test_miss_rate_holds_at_every_size(n):
     p = ClusterParams()
     bits, tables = p.signature(n)
     assert tables >= 16 and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= 1e-3
+
+
+@pytest.mark.parametrize("block_rows", [50, 2000])
+def test_every_pair_of_a_bucket_is_compared(spark, block_rows):
+    """Vectors about one mean direction share most buckets; scaled copies are far apart in
+    the order of ids, so one table splits them over blocks and tasks."""
+    rng = np.random.default_rng(5)
+    d, n = 64, 1500
+    noise = rng.standard_normal((n, d))
+    base = np.eye(d)[0] + 0.6 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    data, _ = frame(spark, [(1, 1, np.vstack([base, 2 * base]))])
+    df = spark.createDataFrame([("a", r[0], r[4]) for r in data], "g string, id long, vec array<float>")
+    p = ClusterParams(tables=1, miss=0.99, block_rows=block_rows, bucket_rows=10_000)
+    got = {(r.a, r.b) for r in similarity_graph(df.repartition(3), p).collect()}
+    assert got == {(i, n + i) for i in range(n)}
+
+
+def test_thin_links_connect_what_the_pairs_connect():
+    rng = np.random.default_rng(6)
+
+    def parts(n, links):
+        c = list(range(n))
+        for i, j in links:
+            x, y = c[i], c[j]
+            c = [y if v == x else v for v in c]
+        return {frozenset(k for k in range(n) if c[k] == v) for v in c}
+
+    for same in (True, False):
+        for share in (0.01, 0.03, 0.3):
+            close = rng.random((60, 60)) < share
+            if same:
+                close |= close.T | np.eye(60, dtype=bool)
+            i, j = thin_links(close, same, 2)
+            shift = 0 if same else 60
+            assert close[i, j].all() and parts(120, zip(i, j + shift)) == parts(120, zip(*(np.nonzero(close)[0], np.nonzero(close)[1] + shift)))
+    assert len(thin_links(np.ones((500, 500), dtype=bool), True, 16)[0]) <= 1000
+    assert len(thin_links(np.ones((500, 400), dtype=bool), False, 16)[0]) <= 1000
