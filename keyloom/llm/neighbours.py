@@ -14,14 +14,15 @@ sample only decides where. A vector whose own shard already holds k neighbours a
 close that a short search meets it.
 
 Cost: a column of n vectors in S shards takes n * S searches of logarithmic length, with S
-growing as the square root of n up to 96,000 rows a shard; no pair of vectors is compared
-outside a search.
+growing as the square root of n up to 96,000 rows a shard; outside a search only vectors whose
+beam ends within a tie are compared, with all rows of the shard.
 
 Defined results: a vector is usable if it is not null, has ``dimension`` elements, none of
 them null, and a positive finite norm; others neither get nor are neighbours. Repeated vectors are
 indexed once and expanded afterwards by their smallest ids. Similarity is rounded to 6
 decimals; equal ones rank by smaller id. Columns with fewer than k + 1 vectors give fewer
-neighbours, a single vector none. An empty table gives no rows; other columns are not read.
+neighbours, a single vector none. Where more candidates tie than a beam holds (scaled copies, very
+tight groups), the vector is compared with its whole shard. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, int]
 _BLOB = "g string, shard int, n int, d int, ids binary, rows binary, graph binary, entries binary, kth binary, home_ids binary, home_sims binary"
 
 
-def _exact_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, cand: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _rounded_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, cand: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best candidates by rounded double-precision cosine, then by id; missing: -1."""
     n = len(ids)
     wide = np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)]).astype(np.float64)
@@ -150,16 +151,60 @@ def _exact_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np
     out_ids = np.full((len(q), k), -1, dtype=np.int64)
     out_sims = np.full((len(q), k), -2.0)
     all_ids = np.append(ids, -1)
-    for s in range(0, len(q), 2048):
-        c = cand[s : s + 2048]
-        dots = np.einsum("bkd,bd->bk", wide[c], q[s : s + 2048])
-        sims = np.round(dots / (norm[c] * q_norm[s : s + 2048, None]), 6)
+    for s in range(0, len(q), 256):
+        c = cand[s : s + 256]
+        dots = np.einsum("bkd,bd->bk", wide[c], q[s : s + 256])
+        sims = np.round(dots / (norm[c] * q_norm[s : s + 256, None]), 6)
         cid = all_ids[c]
-        sims[(c == n) | (cid == q_ids[s : s + 2048, None])] = -2.0
+        sims[(c == n) | (cid == q_ids[s : s + 256, None])] = -2.0
         order = np.lexsort((cid, -sims), axis=1)[:, :k]
         m = order.shape[1]
-        out_ids[s : s + 2048, :m] = np.where(np.take_along_axis(sims, order, 1) > -2, np.take_along_axis(cid, order, 1), -1)
-        out_sims[s : s + 2048, :m] = np.take_along_axis(sims, order, 1)
+        out_ids[s : s + 256, :m] = np.where(np.take_along_axis(sims, order, 1) > -2, np.take_along_axis(cid, order, 1), -1)
+        out_sims[s : s + 256, :m] = np.take_along_axis(sims, order, 1)
+    return out_ids, out_sims
+
+
+def _scan_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_rounded_top` with all rows, whose ids ascend, as candidates."""
+    wide = rows.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1)[:, None]
+    q = queries.astype(np.float64)
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    out_ids = np.full((len(q), k), -1, dtype=np.int64)
+    out_sims = np.full((len(q), k), -2.0)
+    m = min(k, len(ids))
+    for s in range(0, len(q), 64):
+        sims = np.round(q[s : s + 64] @ wide.T, 6)
+        sims[ids[None, :] == q_ids[s : s + 64, None]] = -2.0
+        kth = -np.partition(-sims, m - 1, axis=1)[:, m - 1]
+        for i, row in enumerate(sims):
+            above = np.flatnonzero(row > kth[i])
+            best = np.concatenate([above[np.argsort(-row[above], kind="stable")], np.flatnonzero(row == kth[i])[: m - len(above)]])
+            out_ids[s + i, :m] = np.where(row[best] > -2, ids[best], -1)
+            out_sims[s + i, :m] = row[best]
+    return out_ids, out_sims
+
+
+_MARGIN = 1e-5  # above what rounding to 6 decimals and single precision can change
+
+
+def _exact_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, cand: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by rounded double-precision cosine, then by id, of the beam ``cand`` with
+    similarities ``near``, best first. All of the beam that may tie with the k-th is ranked; a
+    query whose beam ends within such a tie is compared with all rows."""
+    last = min(k, near.shape[1] - 1)  # the k-th if the query itself is in the beam
+    ties = (near >= near[:, [last]] - _MARGIN) & (cand < len(ids))
+    cut = ties[:, -1] & (near.shape[1] < len(ids))
+    width = np.maximum(ties.sum(axis=1), min(k + 6, near.shape[1]))
+    out_ids = np.full((len(queries), k), -1, dtype=np.int64)
+    out_sims = np.full((len(queries), k), -2.0)
+    few = k + 6
+    for at, w in ((np.flatnonzero(~cut & (width <= few)), few), (np.flatnonzero(~cut & (width > few)), near.shape[1])):
+        if len(at):
+            out_ids[at], out_sims[at] = _rounded_top(queries[at], q_ids[at], rows, ids, cand[at, :w], k)
+    at = np.flatnonzero(cut)
+    if len(at):
+        out_ids[at], out_sims[at] = _scan_top(queries[at], q_ids[at], rows, ids, k)
     return out_ids, out_sims
 
 
@@ -177,8 +222,8 @@ def _builder(p: GraphParams):
         g = build_graph(unit, degree=p.degree, beam=p.build_beam, alpha=p.alpha)
         own = np.arange(len(ids), dtype=np.int32)[:, None]
         starts = np.concatenate([own, g.entry_points(unit)], axis=1)
-        cand, _ = g.search(unit, starts, max(p.home_beam, p.k + 6))
-        best, sims = _exact_top(rows, ids, rows, ids, cand[:, : p.k + 6], p.k)
+        cand, near = g.search(unit, starts, max(p.home_beam, p.k + 6))
+        best, sims = _exact_top(rows, ids, rows, ids, cand, near, p.k)
         blob = {"g": pdf["g"].iloc[0], "shard": int(pdf["shard"].iloc[0]), "n": len(ids), "d": rows.shape[1], "ids": ids.tobytes(), "rows": rows.tobytes(), "graph": g.graph.tobytes(), "entries": g.entries.astype(np.int32).tobytes(), "kth": sims[:, -1].astype(np.float32).tobytes(), "home_ids": best.tobytes(), "home_sims": sims.tobytes()}
         return pd.DataFrame([blob])
 
@@ -212,8 +257,8 @@ def _far(p: GraphParams):
                 unit = _unit(queries)
                 for beam, at in ((p.narrow_beam, np.flatnonzero(kth >= p.near)), (p.far_beam, np.flatnonzero(kth < p.near))):
                     if len(at):
-                        cand, _ = g.search(unit[at], g.entry_points(unit[at]), beam)
-                        best, sims = _exact_top(queries[at], q_ids[at], rows, ids, cand[:, : p.k + 6], p.k)
+                        cand, near = g.search(unit[at], g.entry_points(unit[at]), beam)
+                        best, sims = _exact_top(queries[at], q_ids[at], rows, ids, cand, near, p.k)
                         yield _pairs(q_ids[at], best, sims).assign(g=r.g)
 
     return search

@@ -207,3 +207,20 @@ def test_thin_links_connect_what_the_pairs_connect():
             assert close[i, j].all() and parts(120, zip(i, j + shift)) == parts(120, zip(*(np.nonzero(close)[0], np.nonzero(close)[1] + shift)))
     assert len(thin_links(np.ones((500, 500), dtype=bool), True, 16)[0]) <= 1000
     assert len(thin_links(np.ones((500, 400), dtype=bool), False, 16)[0]) <= 1000
+
+
+@pytest.mark.parametrize("rows", [100_000, 300])
+def test_ties_go_to_the_smaller_ids(spark, rows):
+    """Scaled copies and a tight group, larger than what was ranked, and larger than a beam."""
+    rng = np.random.default_rng(7)
+    one, two, three = rng.standard_normal((3, 12))
+    scaled = one * rng.uniform(0.1, 10, (40, 1))
+    many = two * rng.uniform(0.1, 10, (250, 1))
+    tight = three + 1e-5 * rng.standard_normal((60, 12))
+    x = np.vstack([scaled, many, tight, rng.standard_normal((250, 12))])
+    data, df = frame(spark, [(1, 1, x[rng.permutation(len(x))])])
+    got = {tuple(r) for r in neighbour_pairs(nearest_neighbours(df, GraphParams(min_shard_rows=rows, max_shard_rows=rows))).collect()}
+    truth = brute_pairs(data, 5)
+    tied = {r[0] for r, c in zip(data, (np.round(cosines(data), 6) == 1).sum(axis=1), strict=True) if c > 6}
+    assert len(tied) > 300
+    assert {p for p in truth if tied & set(p)} == {p for p in got if tied & set(p)}
