@@ -16,7 +16,8 @@ page-production text and at least one part is a sure sign:
 
 Host evidence: a line that shares no term with the title or the address of its document, has
 no informative term (identifiers, numbers), and comes back under many titles on many hosts is a
-duplicated low-information response. It is residue if it also uses two words of page
+duplicated low-information response. The first or only line has no title; it is judged by the
+address alone and by the documents it comes back in. Such a line is residue if it also uses two words of page
 production (``_CUES``), so that wordings no detector knows are found.
 
 Defined results: null and blank texts are no cases; repeated documents are judged alike; an
@@ -25,6 +26,7 @@ empty table gives no rows; texts are read whole; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -247,15 +249,20 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if any(is_residue(x) for x in all_lines):
                 out.append((doc, True, None, None, None))
                 continue
-            title = all_lines[0] if all_lines else ""
-            context = (set(_WORDS.findall(title)) | set(_WORDS.findall((host or "").lower()))) - _STOP
+            if not all_lines:
+                continue
+            title, address = all_lines[0], set(_WORDS.findall((host or "").lower())) - _STOP
+            if low_information(title, address):  # the whole text, or no title but the response itself
+                out.append((doc, False, title, f"document {doc}", host))
+            context = (set(_WORDS.findall(title)) - _STOP) | address
             for x in {y for y in all_lines[1:] if low_information(y, context)}:
                 out.append((doc, False, x, hash_title(title), host))
         yield pd.DataFrame(out, columns=["__id", "sure", "line", "title", "host"])
 
 
 def hash_title(title: str) -> str:
-    return re.sub(r"\d+", "0", title)[:80]
+    """Titles that differ in numbers only are one."""
+    return hashlib.blake2b(re.sub(r"\d+", "0", title).encode(errors="surrogatepass"), digest_size=16).hexdigest()
 
 
 def residue_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_titles: int = 20, min_hosts: int = 5) -> DataFrame:

@@ -154,3 +154,14 @@ def test_host_evidence_finds_unknown_wordings(spark):
     docs += [(100 + i, f"Only here {chr(97 + i)}\n\nthe server has denied us the visit", "host1") for i in range(3)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     assert sorted(r.doc_id for r in residue_documents(df).collect()) == list(range(60))
+
+
+def test_host_evidence_finds_texts_of_one_line(spark):
+    notice = "whatever you came for, our server has denied the visit"
+    docs = [(i, notice, f"host{i % 7}") for i in range(30)]
+    docs += [(100 + i, "the server has denied us the visit", "host1") for i in range(30)]  # one host
+    docs += [(200 + i, "the request went to the server", f"host{i}") for i in range(8)]  # few documents
+    long = "a report about grain and barley and oats and rye and wheat and the weather of the year in "
+    docs += [(300 + i, f"{long} {chr(97 + i)}\n\nno visit: the server has denied what you came for", f"host{i % 7}") for i in range(26)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in residue_documents(df).collect()) == [*range(30), *range(300, 326)]
