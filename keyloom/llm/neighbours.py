@@ -9,9 +9,10 @@ result found in one direction also counts in the other before the last ranking.
 Shards follow similarity: vectors go to the nearest of a bounded sample of pivots
 (``pivots_per_shard`` per shard, ``max_pivots`` at most), and the pivots' cells are packed into
 shards of equal size; a cell larger than a shard is cut by hash. Every vector is indexed; the
-sample only decides where. A vector whose own shard already holds k neighbours above
-``near`` searches the other shards with the narrow beam: what could still beat those is so
-close that a short search meets it.
+sample only decides where. A vector whose own shard holds its whole cell and k neighbours
+above ``near`` searches the other shards with the narrow beam: what could still beat those is so
+close that a short search meets it. A vector of a cell cut by hash has equally near ones in all
+shards of the cut and always searches with the wide beam.
 
 Cost: a column of n vectors in S shards takes n * S searches of logarithmic length, with S
 growing as the square root of n up to 96,000 rows a shard; outside a search only vectors whose
@@ -101,7 +102,8 @@ def _assigner(pivots):
 
 
 def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, int]:
-    """(g, id, vec, shard) with shards of about ``shard_rows`` rows, and their number."""
+    """(g, id, vec, shard, split) with shards of about ``shard_rows`` rows, and their number;
+    split: the vector's cell lies in several shards."""
     spark = vectors.sparkSession
     sizes = {r.g: r["count"] for r in vectors.groupBy("g").count().collect()}  # one row per vector column
     pivots: dict[str, np.ndarray] = {}
@@ -130,14 +132,14 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, int]
                 mapping.append((g, cell, parts, part, next_shard + lightest))
         next_shard += n_shards
     if not mapping:
-        return placed.select("g", "id", "vec", F.lit(0).alias("shard")), 1
+        return placed.select("g", "id", "vec", F.lit(0).alias("shard"), F.lit(False).alias("split")), 1
     table = spark.createDataFrame(mapping, "g string, cell int, parts int, part int, shard int")
     by_cell = table.select("g", "cell", "parts").distinct()
-    split = placed.join(F.broadcast(by_cell), ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")).drop("parts")
-    return split.join(F.broadcast(table.drop("parts")), ["g", "cell", "part"]).select("g", "id", "vec", "shard"), next_shard
+    split = placed.join(F.broadcast(by_cell), ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")).withColumn("split", F.col("parts") > 1).drop("parts")
+    return split.join(F.broadcast(table.drop("parts")), ["g", "cell", "part"]).select("g", "id", "vec", "shard", "split"), next_shard
 
 
-_BLOB = "g string, shard int, n int, d int, ids binary, rows binary, graph binary, entries binary, kth binary, home_ids binary, home_sims binary"
+_BLOB = "g string, shard int, n int, d int, ids binary, rows binary, graph binary, entries binary, kth binary, split binary, home_ids binary, home_sims binary"
 
 
 def _rounded_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, cand: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +226,7 @@ def _builder(p: GraphParams):
         starts = np.concatenate([own, g.entry_points(unit)], axis=1)
         cand, near = g.search(unit, starts, max(p.home_beam, p.k + 6))
         best, sims = _exact_top(rows, ids, rows, ids, cand, near, p.k)
-        blob = {"g": pdf["g"].iloc[0], "shard": int(pdf["shard"].iloc[0]), "n": len(ids), "d": rows.shape[1], "ids": ids.tobytes(), "rows": rows.tobytes(), "graph": g.graph.tobytes(), "entries": g.entries.astype(np.int32).tobytes(), "kth": sims[:, -1].astype(np.float32).tobytes(), "home_ids": best.tobytes(), "home_sims": sims.tobytes()}
+        blob = {"g": pdf["g"].iloc[0], "shard": int(pdf["shard"].iloc[0]), "n": len(ids), "d": rows.shape[1], "ids": ids.tobytes(), "rows": rows.tobytes(), "graph": g.graph.tobytes(), "entries": g.entries.astype(np.int32).tobytes(), "kth": sims[:, -1].astype(np.float32).tobytes(), "split": pdf["split"].to_numpy(dtype=bool).tobytes(), "home_ids": best.tobytes(), "home_sims": sims.tobytes()}
         return pd.DataFrame([blob])
 
     return build
@@ -245,6 +247,12 @@ def _home(p: GraphParams):
     return emit
 
 
+def short_search(kth: np.ndarray, split: np.ndarray, p: GraphParams) -> np.ndarray:
+    """Whether the narrow beam does for the other shards: the home shard holds k near
+    neighbours and the whole cell, so no equally near ones lie elsewhere by the cut alone."""
+    return (kth >= p.near) & ~split
+
+
 def _far(p: GraphParams):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -253,9 +261,10 @@ def _far(p: GraphParams):
                 ids = np.frombuffer(r.ids, np.int64)
                 g = VectorGraph(_unit(rows), np.frombuffer(r.graph, np.int32).reshape(r.n, -1), np.frombuffer(r.entries, np.int32))
                 queries = np.frombuffer(r.q_rows, np.float32).reshape(-1, r.d)
-                q_ids, kth = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.kth, np.float32)
+                q_ids = np.frombuffer(r.q_ids, np.int64)
+                narrow = short_search(np.frombuffer(r.kth, np.float32), np.frombuffer(r.q_split, bool), p)
                 unit = _unit(queries)
-                for beam, at in ((p.narrow_beam, np.flatnonzero(kth >= p.near)), (p.far_beam, np.flatnonzero(kth < p.near))):
+                for beam, at in ((p.narrow_beam, np.flatnonzero(narrow)), (p.far_beam, np.flatnonzero(~narrow))):
                     if len(at):
                         cand, near = g.search(unit[at], g.entry_points(unit[at]), beam)
                         best, sims = _exact_top(queries[at], q_ids[at], rows, ids, cand, near, p.k)
@@ -283,7 +292,7 @@ def search_index(index: DataFrame, p: GraphParams) -> DataFrame:
         return home
     # one row and one task per ordered pair of shards of a column: block of queries, graph
     numbered = index.sparkSession.createDataFrame([(a, b, i % p.max_tasks) for i, (a, b) in enumerate(pairs)], "shard int, q_shard int, task int")
-    other = index.select(F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "kth")
+    other = index.select(F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "kth", F.col("split").alias("q_split"))
     tasks = index.select("g", "shard", "n", "d", "ids", "rows", "graph", "entries").join(numbered, "shard").join(other, "q_shard")
     far = tasks.repartitionById(min(len(pairs), p.max_tasks), "task").mapInPandas(_far(p), _PAIRS)
     return home.unionByName(far)

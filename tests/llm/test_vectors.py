@@ -3,7 +3,7 @@ import pytest
 
 from keyloom.llm.graph import build_graph
 from keyloom.llm.markov import ClusterParams, VectorClusters, markov_clusters, markov_flow, mutual, similarity_graph, thin_links
-from keyloom.llm.neighbours import GraphParams, nearest_neighbours, neighbour_pairs
+from keyloom.llm.neighbours import GraphParams, nearest_neighbours, neighbour_pairs, shard_by_pivots, short_search
 
 SCHEMA = "vec_id long, table_id long, col_id int, dimension int, vec array<float>, g string, id int"
 
@@ -224,3 +224,17 @@ def test_ties_go_to_the_smaller_ids(spark, rows):
     tied = {r[0] for r, c in zip(data, (np.round(cosines(data), 6) == 1).sum(axis=1), strict=True) if c > 6}
     assert len(tied) > 300
     assert {p for p in truth if tied & set(p)} == {p for p in got if tied & set(p)}
+
+
+def test_vectors_of_a_cut_cell_search_widely(spark):
+    """A tight group larger than a shard, beside smaller ones."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.standard_normal(8) + 0.01 * rng.standard_normal((m, 8)) for m in (900, 100, 100)])
+    df = spark.createDataFrame([("a", i, [float(v) for v in r]) for i, r in enumerate(x)], "g string, id long, vec array<float>")
+    p = GraphParams(min_shard_rows=200, max_shard_rows=200, pivots_per_shard=1)
+    placed, n_shards = shard_by_pivots(df, p)
+    cells = {r.id: r for r in placed.collect()}
+    assert n_shards == 6 and len(cells) == len(x) and len({cells[i].shard for i in range(900)}) >= 5
+    split = np.array([cells[i].split for i in range(900)])
+    assert split.any() and not short_search(np.full(900, 0.999, np.float32), split, p)[split].any()
+    assert short_search(np.array([0.9, 0.1], np.float32), np.array([False, False]), p).tolist() == [True, False]
