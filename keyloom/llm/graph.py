@@ -1,8 +1,10 @@
-"""A robust-pruned directed graph over unit vectors, built and searched in batches.
+"""A robust-pruned directed graph over unit vectors, built and searched in blocks.
 
-All steps work on whole batches of points: the beam of every query of a batch advances
-together, and the pruning rounds run side by side. Similarity is the cosine of unit vectors;
-distance is 1 - similarity.
+Queries are searched in blocks of similar ones. Every query has a beam of its own and expands
+its best open points; the points that the whole block meets in one step are compared with all
+its queries by one matrix product, so a point that several queries pass is fetched once, and a
+query also gains what its neighbours in the block meet. Similarity is the cosine of unit
+vectors; distance is 1 - similarity.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ _NONE = np.float32(-2.0)
 
 
 class VectorGraph:
-    """``graph[i]`` holds up to ``degree`` neighbours of point i; unused places hold n."""
+    """``graph[i]`` holds the neighbours of point i; unused places hold n."""
 
     def __init__(self, unit: np.ndarray, graph: np.ndarray, entries: np.ndarray) -> None:
         n, d = unit.shape
@@ -22,67 +24,68 @@ class VectorGraph:
         self.graph, self.entries = graph, entries
 
     # -- search ----------------------------------------------------------------------------
-    def search(self, queries: np.ndarray, starts: np.ndarray, beam: int, width: int = 4, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and similarities of the best ``beam`` points met on the way, best first."""
+    def search(self, queries: np.ndarray, beam: int, own: np.ndarray | None = None, width: int = 4, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and similarities of the best ``beam`` points met on the way, best first.
+        ``own``: points of the graph to start from besides the nearest entry points."""
         ids = np.full((len(queries), beam), self.n, dtype=np.int32)
         sims = np.full((len(queries), beam), _NONE, dtype=np.float32)
-        for s in range(0, len(queries), batch):
-            ids[s : s + batch], sims[s : s + batch] = self._search(queries[s : s + batch], starts[s : s + batch], beam, width)
+        if not len(queries) or not len(self.entries):
+            return ids, sims
+        starts = self._entry_points(queries)
+        order = np.lexsort((starts[:, -1], starts[:, 0]))  # similar queries share a block
+        for s in range(0, len(order), block):
+            at = order[s : s + block]
+            first = starts[at] if own is None else np.concatenate([starts[at], own[at, None]], axis=1)
+            ids[at], sims[at] = self._search(queries[at], first, beam, width)
         return ids, sims
 
-    def entry_points(self, queries: np.ndarray, m: int = 6) -> np.ndarray:
-        """The ``m`` entry points nearest to each query."""
+    def _entry_points(self, queries: np.ndarray, m: int = 4) -> np.ndarray:
+        """The ``m`` entry points nearest to each query, the nearest first."""
         m = min(m, len(self.entries))
-        sims = queries @ self.unit[self.entries].T
-        if m == len(self.entries):
-            return np.broadcast_to(self.entries, (len(queries), m)).astype(np.int32)
-        return self.entries[np.argpartition(-sims, m - 1, axis=1)[:, :m]]
+        out = np.empty((len(queries), m), dtype=np.int32)
+        pool = self.unit[self.entries].T
+        for s in range(0, len(queries), 4096):
+            near = queries[s : s + 4096] @ pool
+            top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(self.entries) else np.broadcast_to(np.arange(m), (len(near), m))
+            best = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
+            out[s : s + 4096] = self.entries[np.take_along_axis(top, best, 1)]
+        return out
 
     def _search(self, q: np.ndarray, starts: np.ndarray, beam: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         b, n = len(q), self.n
-        seen = np.zeros((b, n + 1), dtype=bool)
-        seen[:, n] = True
+        met, expanded = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+        met[n] = expanded[n] = True
         ids = np.full((b, beam), n, dtype=np.int32)
         sims = np.full((b, beam), _NONE, dtype=np.float32)
-        done = np.ones((b, beam), dtype=bool)
-        live = np.arange(b)
-        fresh = starts
-        while True:
-            q_l, ids_l, sims_l, done_l = q[live], ids[live], sims[live], done[live]
-            fresh = np.sort(fresh, axis=1)
-            new = ~seen[live[:, None], fresh]
-            new[:, 1:] &= fresh[:, 1:] != fresh[:, :-1]
-            seen[live[:, None], fresh] = True
-            near = np.matmul(self.unit[fresh], q_l[:, :, None])[:, :, 0]
-            near[~new] = _NONE
-            all_ids = np.concatenate([ids_l, fresh], axis=1)
-            all_sims = np.concatenate([sims_l, near], axis=1)
-            all_done = np.concatenate([done_l, ~new], axis=1)
-            if all_sims.shape[1] > beam:
+        fresh = np.unique(starts)
+        fresh = fresh[fresh < n]
+        while len(fresh):
+            met[fresh] = True
+            near = q @ self.unit[fresh].T
+            gain = near > sims.min(axis=1)[:, None]
+            count = gain.sum(axis=1)
+            most = int(count.max())
+            if most:  # the gains of every query side by side; beyond them only empty places
+                row, col = np.nonzero(gain)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                new_ids, new_sims = np.full((b, most), n, dtype=np.int32), np.full((b, most), _NONE, dtype=np.float32)
+                new_ids[row, place], new_sims[row, place] = fresh[col], near[row, col]
+                all_ids, all_sims = np.concatenate([ids, new_ids], axis=1), np.concatenate([sims, new_sims], axis=1)
                 keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-                all_ids = np.take_along_axis(all_ids, keep, 1)
-                all_sims = np.take_along_axis(all_sims, keep, 1)
-                all_done = np.take_along_axis(all_done, keep, 1)
-            open_ = np.where(all_done, _NONE, all_sims)
-            w = min(width, open_.shape[1])
-            pick = np.argpartition(-open_, w - 1, axis=1)[:, :w] if w < open_.shape[1] else np.broadcast_to(np.arange(w), (len(live), w))
-            chosen = np.take_along_axis(all_ids, pick, 1)
-            dead = np.take_along_axis(open_, pick, 1) <= _NONE
-            np.put_along_axis(all_done, pick, True, 1)
-            k = all_ids.shape[1]
-            ids[live, :k], sims[live, :k], done[live, :k] = all_ids, all_sims, all_done
-            go = ~dead.all(axis=1)
-            if not go.any():
-                break
-            chosen = np.where(dead, n, chosen)[go]
-            live = live[go]
-            padded = self.graph[np.minimum(chosen, n - 1)]
-            fresh = np.where(chosen[:, :, None] == n, n, padded).reshape(len(live), -1)
+                ids, sims = np.take_along_axis(all_ids, keep, 1), np.take_along_axis(all_sims, keep, 1)
+            open_ = np.where(expanded[ids], _NONE, sims)
+            w = min(width, beam)
+            pick = np.argpartition(-open_, w - 1, axis=1)[:, :w] if w < beam else np.broadcast_to(np.arange(w), (b, w))
+            chosen = np.take_along_axis(ids, pick, 1)[np.take_along_axis(open_, pick, 1) > _NONE]
+            expanded[chosen] = True
+            reached = np.zeros(n + 1, dtype=bool)
+            reached[self.graph[np.unique(chosen)]] = True
+            fresh = np.flatnonzero(reached & ~met)
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     # -- pruning ---------------------------------------------------------------------------
-    def robust_prune(self, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float, batch: int = 256) -> np.ndarray:
+    def robust_prune(self, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float, batch: int = 512) -> np.ndarray:
         """Keep the nearest candidate, drop those it covers (``alpha`` times nearer to it than
         to the point), and repeat. Places left over go to the nearest dropped ones."""
         out = np.full((len(cand), degree), self.n, dtype=np.int32)
@@ -105,55 +108,54 @@ class VectorGraph:
         between = np.matmul(vec, vec.transpose(0, 2, 1))
         rows = np.arange(len(cand))
         alive = sims > _NONE
-        left = alive.copy()
-        out = np.full((len(cand), degree), self.n, dtype=np.int32)
-        filled = np.zeros(len(cand), dtype=np.int64)
-        for _ in range(degree):
-            if not alive.any():
-                break
+        turn = np.where(alive, 2 * cand.shape[1], 3 * cand.shape[1])  # kept ones first, then dropped, then none
+        for step in range(min(degree, cand.shape[1])):
             j = alive.argmax(axis=1)
             has = alive[rows, j]
-            r = rows[has]
-            out[r, filled[r]] = cand[r, j[has]]
-            filled[r] += 1
-            left[r, j[has]] = False
-            alive[r, j[has]] = False
+            if not has.any():
+                break
+            turn[rows[has], j[has]] = step
+            alive[rows, j] = False
             alive &= between[rows, j] < covered_from
-        for i in np.flatnonzero((filled < degree) & left.any(axis=1)):
-            rest = cand[i][left[i]][: degree - filled[i]]
-            out[i, filled[i] : filled[i] + len(rest)] = rest
+        order = np.argsort(turn, axis=1, kind="stable")[:, :degree]
+        out = np.full((len(cand), degree), self.n, dtype=np.int32)
+        picked = np.where(np.take_along_axis(turn, order, 1) < 3 * cand.shape[1], np.take_along_axis(cand, order, 1), self.n)
+        out[:, : picked.shape[1]] = picked
         return out
 
     def add_reverse(self, points: np.ndarray, degree: int, alpha: float) -> None:
-        """Add the edges back to ``points`` from their neighbours, pruning full lists."""
+        """Add the edges back to ``points`` from their neighbours. A list has places beyond
+        ``degree``; one that would outgrow them is pruned to ``degree``."""
+        room = self.graph.shape[1]
         dst = self.graph[points].ravel()
-        src = np.repeat(points, degree).astype(np.int32)
+        src = np.repeat(points, room).astype(np.int32)
         ok = dst < self.n
         dst, src = dst[ok], src[ok]
         if not len(dst):
             return
         near = np.einsum("ij,ij->i", self.unit[dst], self.unit[src])
         order = np.lexsort((-near, dst))
-        dst, src, near = dst[order], src[order], near[order]
+        dst, src = dst[order], src[order]
         targets, first, count = np.unique(dst, return_index=True, return_counts=True)
         place = np.arange(len(dst)) - np.repeat(first, count)
-        keep = place < degree
+        keep = place < degree  # the nearest; farther ones would be pruned
         extra = np.full((len(targets), degree), self.n, dtype=np.int32)
         extra[np.repeat(np.arange(len(targets)), count)[keep], place[keep]] = src[keep]
         have = self.graph[targets]
         both = np.concatenate([have, extra], axis=1)
         used = (both < self.n).sum(axis=1)
-        fits = used <= degree
-        packed = np.take_along_axis(both, np.argsort(both == self.n, axis=1, kind="stable"), 1)
-        self.graph[targets[fits]] = packed[fits][:, :degree]
+        fits = used <= room
+        slim = both[fits]
+        self.graph[targets[fits]] = np.take_along_axis(slim, np.argsort(slim == self.n, axis=1, kind="stable"), 1)[:, :room]
         full = np.flatnonzero(~fits)
         for s in range(0, len(full), 512):
             f = full[s : s + 512]
             sims = np.matmul(self.unit[both[f]], self.unit[targets[f]][:, :, None])[:, :, 0]
-            self.graph[targets[f]] = self.robust_prune(both[f], sims, degree, alpha)
+            self.graph[targets[f], :degree] = self.robust_prune(both[f], sims, degree, alpha)
+            self.graph[targets[f], degree:] = self.n
 
 
-def build_graph(unit: np.ndarray, *, degree: int = 32, beam: int = 48, alpha: float = 1.2, n_entries: int = 512, seed: int = 7) -> VectorGraph:
+def build_graph(unit: np.ndarray, *, degree: int = 20, beam: int = 32, alpha: float = 1.2, n_entries: int = 512, seed: int = 7) -> VectorGraph:
     """Insert the points in random order, in batches that at most double the graph.
 
     Greedy searches from the entry points propose each point's neighbours; the points of one
@@ -162,10 +164,10 @@ def build_graph(unit: np.ndarray, *, degree: int = 32, beam: int = 48, alpha: fl
     n = len(unit)
     rng = np.random.default_rng(seed)
     order = rng.permutation(n).astype(np.int32)
-    g = VectorGraph(unit, np.full((n, degree), n, dtype=np.int32), order[: min(n, n_entries)])
+    g = VectorGraph(unit, np.full((n, degree + degree // 2), n, dtype=np.int32), order[: min(n, n_entries)])
     done = 0
     while done < n:
-        size = min(n - done, max(512, min(done, 2048)))
+        size = min(n - done, max(512, min(done, 1024)))
         batch = order[done : done + size]
         q = unit[batch]
         inner = q @ q.T
@@ -180,9 +182,9 @@ def build_graph(unit: np.ndarray, *, degree: int = 32, beam: int = 48, alpha: fl
             old = VectorGraph.__new__(VectorGraph)
             old.n, old.unit, old.graph = n, g.unit, g.graph
             old.entries = order[: min(done, n_entries)]
-            ids, near = old.search(q, old.entry_points(q), beam)
+            ids, near = old.search(q, beam)
             cand, sims = np.concatenate([cand, ids], axis=1), np.concatenate([sims, near], axis=1)
-        g.graph[batch] = g.robust_prune(cand, sims, degree, alpha)
+        g.graph[batch, :degree] = g.robust_prune(cand, sims, degree, alpha)
         g.add_reverse(batch, degree, alpha)
         done += size
     return g

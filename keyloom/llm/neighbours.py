@@ -2,21 +2,19 @@
 
 The usable vectors of a column are cut into shards of 16,000 to 96,000 rows; each shard gets
 a robust-pruned directed graph (:mod:`keyloom.llm.graph`). Every vector searches the graph of
-its own shard, starting from itself, and by beam search the graph of every other shard of its
-column. The nearest of each shard are re-ranked by the exact cosine in double precision; a
-result found in one direction also counts in the other before the last ranking.
+its own shard, starting from itself, and by beam search the graphs of the shards that hold the
+pivots nearest to it. The beams are re-ranked by the exact cosine in double precision.
 
 Shards follow similarity: vectors go to the nearest of a bounded sample of pivots
 (``pivots_per_shard`` per shard, ``max_pivots`` at most), and the pivots' cells are packed into
-shards of equal size; a cell larger than a shard is cut by hash. Every vector is indexed; the
-sample only decides where. A vector whose own shard holds its whole cell and k neighbours
-above ``near`` searches the other shards with the narrow beam: what could still beat those is so
-close that a short search meets it. A vector of a cell cut by hash has equally near ones in all
-shards of the cut and always searches with the wide beam.
+shards of equal size; a cell larger than a shard is cut by hash, and its vectors search all
+shards of the cut. Every vector is indexed; the sample only decides where.
 
-Cost: a column of n vectors in S shards takes n * S searches of logarithmic length, with S
-growing as the square root of n up to 96,000 rows a shard; outside a search only vectors whose
-beam ends within a tie are compared, with all rows of the shard.
+Cost: a column of S shards is searched in ``probes(S)`` shards per vector: all up to
+``min_probes``, beyond that in proportion to the square root of S. So up to ``min_probes``
+shards (768,000 vectors at 96,000 a shard) nothing is left out but by the beams; in larger
+columns a vector without near ones (in a random direction) may have neighbours in shards it
+does not search. ``min_probes`` raises that at a proportional cost.
 
 Defined results: a vector is usable if it is not null, has ``dimension`` elements, none of
 them null, and a positive finite norm; others neither get nor are neighbours. Repeated vectors are
@@ -28,11 +26,12 @@ tight groups), the vector is compared with its whole shard. An empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +42,26 @@ from keyloom.runtime import materialize
 @dataclass(frozen=True)
 class GraphParams:
     k: int = 5
-    degree: int = 32
-    build_beam: int = 64
+    degree: int = 20
+    beam: int = 32
     alpha: float = 1.2
-    home_beam: int = 96
-    far_beam: int = 128
-    narrow_beam: int = 24
-    near: float = 0.8
     min_shard_rows: int = 16_000
     max_shard_rows: int = 96_000
+    min_probes: int = 8
     pivots_per_shard: int = 64
-    max_pivots: int = 4096
+    max_pivots: int = 16_384
+    part_queries: int = 4  # a task searches so many shards' worth of vectors, then a second one starts
     max_tasks: int = 10_000
 
     def shard_rows(self, n: int) -> int:
         """Rows of a shard of a column with n vectors. It grows with the square root of n, so
-        building (one task a shard) and searching (n searches a shard) stay in balance."""
+        building (one task a shard) and searching stay in balance."""
         return int(min(self.max_shard_rows, max(self.min_shard_rows, 120 * n**0.5)))
 
+    def probes(self, shards: int) -> int:
+        """Shards that a vector searches, its own included."""
+        return min(shards, max(self.min_probes, 2 * math.isqrt(shards)))
+
 
 def usable_vectors(df: DataFrame, vec_id: str = "vec_id", table: str = "table_id", column: str = "col_id", dimension: str = "dimension", vec: str = "vec") -> DataFrame:
     """(g, id, vec) of the usable vectors; g names the vector column and its dimension."""
@@ -71,16 +72,22 @@ def usable_vectors(df: DataFrame, vec_id: str = "vec_id", table: str = "table_id
     return picked.withColumn("n2", norm2).where((n2 > 0) & (n2 < F.lit(float("inf"))) & ~F.isnan(n2)).select("g", "id", "vec")
 
 
-def unique_vectors(usable: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """One representative per distinct vector (its smallest id), and (rep, id, rank) of the
-    ``keep`` smallest ids of the vectors that occur more than once."""
-    w = Window.partitionBy("g", "vec").orderBy("id")
-    first = usable.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
-    ranked = materialize(first.withColumn("rep", F.min("id").over(Window.partitionBy("g", "vec"))), "vecranks")
-    reps = ranked.where("rn = 1").select("g", "id", "vec")
-    repeated = ranked.where("rn > 1").select("g", "rep").distinct()
-    copies = ranked.join(repeated, ["g", "rep"], "left_semi").select("g", "rep", "id", "vec")
-    return reps, copies
+def unique_vectors(usable: DataFrame) -> DataFrame:
+    """(g, id, vec, copies): one representative per distinct vector, its smallest id."""
+    return usable.groupBy("g", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("g", "id", "vec", "copies")
+
+
+def copy_members(usable: DataFrame, reps: DataFrame, hot: float = 1e-4) -> DataFrame:
+    """(g, rep, id) of the vectors that occur more than once. A vector that makes up more than
+    the share ``hot`` of all rows is found by broadcast (at most 1 / ``hot`` of them), so no
+    join key is heavy."""
+    repeated = reps.where("copies > 1").select("g", "vec", F.col("id").alias("rep"), "copies")
+    most = max(1000, int((reps.agg(F.sum("copies")).first()[0] or 0) * hot))
+    heavy, light = repeated.where(F.col("copies") > most).drop("copies"), repeated.where(F.col("copies") <= most).drop("copies")
+    by_heavy = usable.join(F.broadcast(heavy), ["g", "vec"], "left")
+    found = by_heavy.where("rep IS NOT NULL").select("g", "rep", "id")
+    rest = by_heavy.where("rep IS NULL").select("g", "vec", "id").join(light, ["g", "vec"]).select("g", "rep", "id")
+    return found.unionByName(rest)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -88,22 +95,97 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1)[:, None]).astype(np.float32)
 
 
-def _assigner(pivots):
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cell = np.zeros(len(pdf), dtype=np.int32)
-            for g, at in pdf.groupby("g").indices.items():
-                if g in pivots.value:
-                    unit = _unit(np.vstack(pdf["vec"].to_numpy()[at]))
-                    cell[at] = (unit @ pivots.value[g].T).argmax(axis=1)
-            yield pdf.assign(cell=cell)
+def vector_rows(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column, all of one length, as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _by_column(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.RecordBatch]]:
+    """(g, places, rows) of each vector column in a batch."""
+    codes = b.column("g").dictionary_encode()
+    index = codes.indices.to_numpy()
+    for i, g in enumerate(codes.dictionary.to_pylist()):
+        at = np.flatnonzero(index == i)
+        yield g, at, b if len(at) == len(index) else b.take(pa.array(at))
+
+
+# -- shards --------------------------------------------------------------------------------
+@dataclass
+class Column:
+    """How one vector column is cut: pivots, and the shards that hold a part of a pivot's cell."""
+
+    pivots: np.ndarray
+    cells: np.ndarray  # per entry: the pivot; entries are sorted by shard
+    shards: np.ndarray  # per entry: the shard
+    first: np.ndarray  # pivot -> its entries, in order of the parts
+    parts: np.ndarray  # pivot -> number of parts
+    by_part: np.ndarray  # entries ordered by (pivot, part)
+    probes: int
 
-    return assign
 
+def _nearest_cell(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.concatenate([(unit[s : s + 2048] @ pivots.T).argmax(axis=1) for s in range(0, len(unit), 2048)])
 
-def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, int]:
-    """(g, id, vec, shard, split) with shards of about ``shard_rows`` rows, and their number;
-    split: the vector's cell lies in several shards."""
+
+def _count_cells(pivots):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, _, rows in _by_column(b):
+                if g in pivots.value:
+                    cell, n = np.unique(_nearest_cell(_unit(vector_rows(rows.column("vec"))), pivots.value[g]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(cell)), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["g", "cell", "n"])
+
+    return count
+
+
+def _mix(ids: np.ndarray) -> np.ndarray:
+    """A hash of ids for cutting a cell (the finaliser of a 64-bit mixer)."""
+    h = ids.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
+def _place(plan):
+    """(g, id, vec, shard, far): the home shard and the others to search."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, _, rows in _by_column(b):
+                known = plan.value[g]
+                n = rows.num_rows
+                if isinstance(known, int):
+                    shard, far = np.full(n, known, np.int32), pa.ListArray.from_arrays(np.zeros(n + 1, np.int32), pa.array([], pa.int32()))
+                else:
+                    shard, far = _routes(_unit(vector_rows(rows.column("vec"))), rows.column("id").to_numpy(), known)
+                yield pa.RecordBatch.from_arrays([rows.column("g"), rows.column("id"), rows.column("vec"), pa.array(shard), far], names=["g", "id", "vec", "shard", "far"])
+
+    return place
+
+
+def _routes(unit: np.ndarray, ids: np.ndarray, c: Column) -> tuple[np.ndarray, pa.Array]:
+    numbers, starts = np.unique(c.shards, return_index=True)
+    home, lists, lengths = np.empty(len(unit), np.int32), [], np.empty(len(unit), np.int32)
+    for s in range(0, len(unit), 1024):
+        sims = unit[s : s + 1024] @ c.pivots.T
+        cell = sims.argmax(axis=1)
+        part = (_mix(ids[s : s + 1024]) % c.parts[cell].astype(np.uint64)).astype(np.int64)
+        own = c.shards[c.by_part[c.first[cell] + part]]
+        home[s : s + 1024] = own
+        best = np.maximum.reduceat(sims[:, c.cells], starts, axis=1)  # nearest pivot of each shard
+        order = np.argsort(-best, axis=1, kind="stable")
+        wanted = np.maximum(c.probes, c.parts[cell])[:, None] > np.arange(len(numbers))[None, :]
+        chosen = numbers[order]
+        wanted &= chosen != own[:, None]
+        lists.append(chosen[wanted])
+        lengths[s : s + 1024] = wanted.sum(axis=1)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return home, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists).astype(np.int32)))
+
+
+def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, list[int]]:
+    """(g, id, vec, shard, far) with shards of about ``shard_rows`` rows and the other shards
+    each vector searches; and the number of vectors of each shard."""
     spark = vectors.sparkSession
     sizes = {r.g: r["count"] for r in vectors.groupBy("g").count().collect()}  # one row per vector column
     pivots: dict[str, np.ndarray] = {}
@@ -115,33 +197,42 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, int]
         every = max(1, n // wanted)
         rows = vectors.where((F.col("g") == g) & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()  # at most max_pivots
         pivots[g] = _unit(np.array([r.vec for r in rows], dtype=np.float32))
-    known = spark.sparkContext.broadcast(pivots)
-    placed = materialize(vectors.mapInPandas(_assigner(known), "g string, id bigint, vec array<float>, cell int"), "cells")
-    cells = placed.groupBy("g", "cell").count().collect()  # at most max_pivots a column
-    mapping, next_shard = [], 0
+    cells: dict[str, dict[int, int]] = {g: {} for g in sizes}
+    if pivots:
+        counted = vectors.select("g", "vec").mapInArrow(_count_cells(spark.sparkContext.broadcast(pivots)), "g string, cell int, n bigint")
+        for r in counted.groupBy("g", "cell").agg(F.sum("n").alias("n")).collect():  # at most max_pivots a column
+            cells[r.g][r.cell] = r.n
+    plan: dict[str, int | Column] = {}
+    loads: list[int] = []
     for g in sorted(sizes):
-        mine = sorted(((r["count"], r.cell) for r in cells if r.g == g), reverse=True)
+        first_shard = len(loads)
+        if g not in pivots:
+            plan[g] = first_shard
+            loads.append(sizes[g])
+            continue
         rows_each = p.shard_rows(sizes[g])
         n_shards = -(-sizes[g] // rows_each)
         load = [0] * n_shards
-        for n, cell in mine:
+        entries = []  # (pivot, part, shard)
+        for n, cell in sorted(((n, cell) for cell, n in cells[g].items()), reverse=True):
             parts = -(-n // rows_each)
             for part in range(parts):
                 lightest = min(range(n_shards), key=load.__getitem__)
                 load[lightest] += n // parts
-                mapping.append((g, cell, parts, part, next_shard + lightest))
-        next_shard += n_shards
-    if not mapping:
-        return placed.select("g", "id", "vec", F.lit(0).alias("shard"), F.lit(False).alias("split")), 1
-    table = spark.createDataFrame(mapping, "g string, cell int, parts int, part int, shard int")
-    by_cell = table.select("g", "cell", "parts").distinct()
-    split = placed.join(F.broadcast(by_cell), ["g", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")).withColumn("split", F.col("parts") > 1).drop("parts")
-    return split.join(F.broadcast(table.drop("parts")), ["g", "cell", "part"]).select("g", "id", "vec", "shard", "split"), next_shard
-
-
-_BLOB = "g string, shard int, n int, d int, ids binary, rows binary, graph binary, entries binary, kth binary, split binary, home_ids binary, home_sims binary"
-
-
+                entries.append((cell, part, first_shard + lightest))
+        entries.sort(key=lambda e: e[2])
+        cell, part, shard = (np.array(x) for x in zip(*entries, strict=True))
+        by_part = np.lexsort((part, cell))
+        parts = np.zeros(len(pivots[g]), dtype=np.int64)
+        np.add.at(parts, cell, 1)
+        first = np.concatenate([[0], np.cumsum(parts)[:-1]])
+        plan[g] = Column(pivots[g], cell, shard, first, np.maximum(parts, 1), by_part, p.probes(n_shards))
+        loads.extend(load)
+    placed = vectors.select("g", "id", "vec").mapInArrow(_place(spark.sparkContext.broadcast(plan)), "g string, id bigint, vec array<float>, shard int, far array<int>")
+    return placed, loads
+
+
+# -- ranking -------------------------------------------------------------------------------
 def _rounded_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, cand: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best candidates by rounded double-precision cosine, then by id; missing: -1."""
     n = len(ids)
@@ -210,91 +301,105 @@ def _exact_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np
     return out_ids, out_sims
 
 
-def _builder(p: GraphParams):
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [pdf for pdf in batches if len(pdf)]  # one shard: at most about shard_rows rows
-        if parts:
-            yield one(pd.concat(parts))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        ids = pdf["id"].to_numpy(dtype=np.int64)
-        rows = np.vstack(pdf["vec"].to_numpy()).astype(np.float32)
-        unit = _unit(rows)
-        g = build_graph(unit, degree=p.degree, beam=p.build_beam, alpha=p.alpha)
-        own = np.arange(len(ids), dtype=np.int32)[:, None]
-        starts = np.concatenate([own, g.entry_points(unit)], axis=1)
-        cand, near = g.search(unit, starts, max(p.home_beam, p.k + 6))
-        best, sims = _exact_top(rows, ids, rows, ids, cand, near, p.k)
-        blob = {"g": pdf["g"].iloc[0], "shard": int(pdf["shard"].iloc[0]), "n": len(ids), "d": rows.shape[1], "ids": ids.tobytes(), "rows": rows.tobytes(), "graph": g.graph.tobytes(), "entries": g.entries.astype(np.int32).tobytes(), "kth": sims[:, -1].astype(np.float32).tobytes(), "split": pdf["split"].to_numpy(dtype=bool).tobytes(), "home_ids": best.tobytes(), "home_sims": sims.tobytes()}
-        return pd.DataFrame([blob])
-
-    return build
-
-
-def _pairs(q_ids: np.ndarray, best: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
-    ok = best >= 0
-    return pd.DataFrame({"q": np.repeat(q_ids, best.shape[1])[ok.ravel()], "c": best[ok], "sim": sims[ok]})
-
-
-def _home(p: GraphParams):
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                shape = (r.n, p.k)
-                yield _pairs(np.frombuffer(r.ids, np.int64), np.frombuffer(r.home_ids, np.int64).reshape(shape), np.frombuffer(r.home_sims).reshape(shape)).assign(g=r.g)
+# -- building and searching ------------------------------------------------------------------
+_INDEX = "g string, shard int, id bigint, vec array<float>, far array<int>, edges array<int>, best array<bigint>, sims array<double>"
 
-    return emit
 
+def _lists(matrix: np.ndarray) -> pa.Array:
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, pa.array(np.ascontiguousarray(matrix).ravel()))
 
-def short_search(kth: np.ndarray, split: np.ndarray, p: GraphParams) -> np.ndarray:
-    """Whether the narrow beam does for the other shards: the home shard holds k near
-    neighbours and the whole cell, so no equally near ones lie elsewhere by the cut alone."""
-    return (kth >= p.near) & ~split
 
+def _entries(n: int, most: int = 512) -> np.ndarray:
+    """Entry points of a stored graph: every n-th of its rows."""
+    return np.arange(0, n, max(1, n // most), dtype=np.int32)
 
-def _far(p: GraphParams):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                rows = np.frombuffer(r.rows, np.float32).reshape(r.n, r.d)
-                ids = np.frombuffer(r.ids, np.int64)
-                g = VectorGraph(_unit(rows), np.frombuffer(r.graph, np.int32).reshape(r.n, -1), np.frombuffer(r.entries, np.int32))
-                queries = np.frombuffer(r.q_rows, np.float32).reshape(-1, r.d)
-                q_ids = np.frombuffer(r.q_ids, np.int64)
-                narrow = short_search(np.frombuffer(r.kth, np.float32), np.frombuffer(r.q_split, bool), p)
-                unit = _unit(queries)
-                for beam, at in ((p.narrow_beam, np.flatnonzero(narrow)), (p.far_beam, np.flatnonzero(~narrow))):
-                    if len(at):
-                        cand, near = g.search(unit[at], g.entry_points(unit[at]), beam)
-                        best, sims = _exact_top(queries[at], q_ids[at], rows, ids, cand, near, p.k)
-                        yield _pairs(q_ids[at], best, sims).assign(g=r.g)
-
-    return search
 
+def _builder(p: GraphParams):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]  # one shard: at most about shard_rows rows
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks().sort_by("id")
+        ids = t["id"].to_numpy()
+        rows = vector_rows(t["vec"].combine_chunks())
+        unit = _unit(rows)
+        g = build_graph(unit, degree=p.degree, beam=p.beam, alpha=p.alpha)
+        cand, near = g.search(unit, p.beam, own=np.arange(len(ids), dtype=np.int32))
+        best, sims = _exact_top(rows, ids, rows, ids, cand, near, p.k)
+        out = pa.Table.from_arrays([t["g"], t["shard"], t["id"], t["vec"], t["far"], _lists(g.graph), _lists(best), _lists(sims)], names=["g", "shard", "id", "vec", "far", "edges", "best", "sims"])
+        yield from out.to_batches(max_chunksize=10_000)
 
-_PAIRS = "q bigint, c bigint, sim double, g string"
+    return build
 
 
-def build_index(reps: DataFrame, p: GraphParams) -> DataFrame:
-    """One row per shard: ids, vectors, graph and the neighbours found at home."""
-    sharded, n_shards = shard_by_pivots(reps, p)
+def build_index(reps: DataFrame, p: GraphParams) -> tuple[DataFrame, list[int]]:
+    """One row per vector: its shard, edges, neighbours found at home and other shards to
+    search; and the number of vectors of each shard."""
+    placed, loads = shard_by_pivots(reps, p)
     # one task a shard, whatever the hash of its number
-    return materialize(sharded.repartitionById(n_shards, "shard").mapInPandas(_builder(p), _BLOB), "graphs")
-
-
-def search_index(index: DataFrame, p: GraphParams) -> DataFrame:
-    """(g, q, c, sim): candidates of every indexed vector from every shard of its column."""
-    home = index.select("g", "n", "ids", "home_ids", "home_sims").mapInPandas(_home(p), _PAIRS)
-    shards = index.select("g", "shard").collect()  # one row per shard
-    pairs = [(a.shard, b.shard) for a in shards for b in shards if a.g == b.g and a.shard != b.shard]
-    if not pairs:
+    built = placed.repartitionById(max(1, len(loads)), "shard").mapInArrow(_builder(p), _INDEX)
+    return materialize(built, "graphs"), loads
+
+
+def _searcher(p: GraphParams):
+    """Rows come sorted by (task, points before queries): points of a shard, then its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, points, graph = None, [], None
+
+        def answer(rows: pa.RecordBatch) -> pa.RecordBatch:
+            q_ids, q_rows = rows.column("id").to_numpy(), vector_rows(rows.column("vec"))
+            cand, near = graph[0].search(_unit(q_rows), p.beam)
+            best, sims = _exact_top(q_rows, q_ids, graph[2], graph[1], cand, near, p.k)
+            ok = best >= 0
+            g = pa.DictionaryArray.from_arrays(pa.array(np.zeros(int(ok.sum()), np.int32)), pa.array([rows.column("g")[0].as_py()])).cast(pa.string())
+            return pa.RecordBatch.from_arrays([g, pa.array(np.repeat(q_ids, ok.sum(axis=1))), pa.array(best[ok]), pa.array(sims[ok])], names=["g", "q", "c", "sim"])
+
+        for b in batches:
+            tasks, query = b.column("task").to_numpy(), b.column("query").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((tasks[1:] != tasks[:-1]) | (query[1:] != query[:-1])) + 1).tolist(), len(tasks)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if tasks[s] != task:
+                    task, points, graph = tasks[s], [], None
+                if not query[s]:
+                    points.append(b.slice(s, e - s))
+                    continue
+                if graph is None:
+                    t = pa.Table.from_batches(points).combine_chunks().sort_by("id")  # the order of the build
+                    vecs = vector_rows(t["vec"].combine_chunks())
+                    unit = _unit(vecs)
+                    graph = VectorGraph(unit, vector_rows(t["edges"].combine_chunks()), _entries(len(unit))), t["id"].to_numpy(), vecs
+                    points = []
+                yield answer(b.slice(s, e - s))
+
+    return run
+
+
+def search_index(index: DataFrame, loads: list[int], p: GraphParams) -> DataFrame:
+    """(g, q, c, sim): the neighbours of every vector found at home and in the other shards it
+    is sent to."""
+    found = F.arrays_zip(F.col("best").alias("c"), F.col("sims").alias("sim"))
+    home = index.select("g", F.col("id").alias("q"), F.inline(found)).where("c >= 0")
+    spark = index.sparkSession
+    sent = index.select("g", "id", "vec", F.explode("far").alias("shard"))
+    arriving = {r.shard: r["count"] for r in sent.groupBy("shard").count().collect()}  # one row per shard
+    if not arriving:
         return home
-    # one row and one task per ordered pair of shards of a column: block of queries, graph
-    numbered = index.sparkSession.createDataFrame([(a, b, i % p.max_tasks) for i, (a, b) in enumerate(pairs)], "shard int, q_shard int, task int")
-    other = index.select(F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "kth", F.col("split").alias("q_split"))
-    tasks = index.select("g", "shard", "n", "d", "ids", "rows", "graph", "entries").join(numbered, "shard").join(other, "q_shard")
-    far = tasks.repartitionById(min(len(pairs), p.max_tasks), "task").mapInPandas(_far(p), _PAIRS)
+    rows, first = [], 0
+    for shard, n in sorted(arriving.items()):
+        parts = max(1, round(n / (p.part_queries * max(1, loads[shard]))))
+        rows.append((shard, first, parts))
+        first += parts
+    tasks = F.broadcast(spark.createDataFrame(rows, "shard int, first int, parts int"))  # one row per shard
+    queries = sent.join(tasks, "shard").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("task"), F.lit(True).alias("query"), "g", "id", "vec", F.lit(None).cast("array<int>").alias("edges"))
+    # a shard's points go to each of its tasks, one task for part_queries times as many queries
+    points = index.join(tasks, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("task"), F.lit(False).alias("query"), "g", "id", "vec", "edges")
+    n_tasks = min(first, p.max_tasks)
+    met = points.unionByName(queries).withColumn("at", F.pmod("task", F.lit(n_tasks)))
+    far = met.repartitionById(n_tasks, "at").drop("at").sortWithinPartitions("task", "query").mapInArrow(_searcher(p), "g string, q bigint, c bigint, sim double")
     return home.unionByName(far)
 
 
@@ -308,20 +413,32 @@ def nearest_neighbours(df: DataFrame, params: GraphParams | None = None, **colum
     """(g, q, c, sim, rnk): the k most similar vectors of every usable vector."""
     p = params or GraphParams()
     usable = usable_vectors(df, **columns)
-    reps, copies = unique_vectors(usable, p.k + 1)
-    candidates = search_index(build_index(reps, p), p)
-    both = candidates.unionByName(candidates.select("g", F.col("c").alias("q"), F.col("q").alias("c"), "sim"))
-    ranked = materialize(rank(both, p.k), "ranked")
-    if copies.isEmpty():
+    reps = materialize(unique_vectors(usable), "reps")
+    ranked = rank(search_index(*build_index(reps, p), p), p.k)
+    if reps.where("copies > 1").isEmpty():
         return ranked
     # repeated vectors: candidates of a representative are the first copies of itself and of
     # its neighbours; every copy ranks them for itself
-    small = copies.select("g", "rep", "id")  # at most k + 1 ids of each repeated vector
+    ranked = materialize(ranked, "ranked")
+    members = materialize(copy_members(usable, reps), "members")
+    first = Window.partitionBy("g", "rep").orderBy("id")
+    small = members.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= p.k + 1).drop("rn")  # at most k + 1 ids of each repeated vector
     wider = ranked.join(small.withColumnRenamed("rep", "c"), ["g", "c"], "left").select("g", "q", F.coalesce("id", "c").alias("c"), "sim")
-    members = usable.join(copies.select("g", "rep", "vec").distinct(), ["g", "vec"]).select("g", "rep", "id")
-    own = members.join(small.withColumnRenamed("id", "c"), ["g", "rep"]).where("c <> id").select("g", F.col("id").alias("q"), "c", F.lit(1.0).alias("sim"))
-    others = wider.join(members.where("id <> rep").withColumnRenamed("rep", "q"), ["g", "q"]).select("g", F.col("id").alias("q"), "c", "sim")
-    return rank(wider.unionByName(own).unionByName(others), p.k)
+    # a representative has few candidates and may have very many copies
+    around = wider.join(small.select("g", F.col("rep").alias("q")).distinct(), ["g", "q"], "left_semi").unionByName(small.select("g", F.col("rep").alias("q"), F.col("id").alias("c"), F.lit(1.0).alias("sim")))
+    w = Window.partitionBy("g", "q").orderBy(F.col("sim").desc(), "c")
+    packed = around.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 2 * p.k + 2).groupBy("g", "q").agg(F.collect_list(F.struct("c", "sim")).alias("near"))
+    return rank(wider.unionByName(_of_copies(members, packed)), p.k)
+
+
+def _of_copies(members: DataFrame, packed: DataFrame) -> DataFrame:
+    """(g, q, c, sim) for every copy from the candidates of its representative. Copies of one
+    vector are spread by a salt; the packed side has one row per repeated vector and salt."""
+    salts = 64
+    spread = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    every = packed.withColumnRenamed("q", "rep").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    out = spread.join(every, ["g", "rep", "salt"]).select("g", F.col("id").alias("q"), F.inline("near"))
+    return out.where("q <> c")
 
 
 def neighbour_pairs(neighbours: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 
 from keyloom.llm.graph import build_graph
 from keyloom.llm.markov import ClusterParams, VectorClusters, markov_clusters, markov_flow, mutual, similarity_graph, thin_links
-from keyloom.llm.neighbours import GraphParams, nearest_neighbours, neighbour_pairs, shard_by_pivots, short_search
+from keyloom.llm.neighbours import GraphParams, nearest_neighbours, neighbour_pairs, shard_by_pivots
 
 SCHEMA = "vec_id long, table_id long, col_id int, dimension int, vec array<float>, g string, id int"
 
@@ -46,8 +46,8 @@ def test_graph_recall():
     x = clustered(rng, 3000, 24).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]
     g = build_graph(x, degree=24)
-    assert ((g.graph < g.n).sum(axis=1) <= 24).all() and (g.graph != np.arange(g.n)[:, None]).all()
-    ids, _ = g.search(x[:300], g.entry_points(x[:300]), 64)
+    assert ((g.graph < g.n).sum(axis=1) <= 36).all() and (g.graph != np.arange(g.n)[:, None]).all()
+    ids, _ = g.search(x[:300], 48)
     truth = np.argsort(-(x[:300] @ x.T), axis=1)[:, :6]
     assert np.mean([len(set(a[:6]) & set(b)) / 6 for a, b in zip(ids, truth, strict=True)]) > 0.95
 
@@ -227,14 +227,34 @@ def test_ties_go_to_the_smaller_ids(spark, rows):
 
 
 def test_vectors_of_a_cut_cell_search_widely(spark):
-    """A tight group larger than a shard, beside smaller ones."""
+    """A tight group larger than a shard, beside smaller ones: its vectors search every shard
+    of the cut, however few probes there are."""
     rng = np.random.default_rng(8)
     x = np.vstack([rng.standard_normal(8) + 0.01 * rng.standard_normal((m, 8)) for m in (900, 100, 100)])
     df = spark.createDataFrame([("a", i, [float(v) for v in r]) for i, r in enumerate(x)], "g string, id long, vec array<float>")
-    p = GraphParams(min_shard_rows=200, max_shard_rows=200, pivots_per_shard=1)
-    placed, n_shards = shard_by_pivots(df, p)
+    p = GraphParams(min_shard_rows=200, max_shard_rows=200, pivots_per_shard=1, min_probes=1)
+    placed, loads = shard_by_pivots(df, p)
     cells = {r.id: r for r in placed.collect()}
-    assert n_shards == 6 and len(cells) == len(x) and len({cells[i].shard for i in range(900)}) >= 5
-    split = np.array([cells[i].split for i in range(900)])
-    assert split.any() and not short_search(np.full(900, 0.999, np.float32), split, p)[split].any()
-    assert short_search(np.array([0.9, 0.1], np.float32), np.array([False, False]), p).tolist() == [True, False]
+    assert len(loads) == 6 and len(cells) == len(x)
+    cut = {cells[i].shard for i in range(900)}
+    assert len(cut) >= 5
+    for i in range(900):
+        assert cells[i].shard not in cells[i].far and len(set(cells[i].far)) == len(cells[i].far)
+    assert max(len(cells[i].far) for i in range(900)) >= 3 and all(set(cells[i].far) <= set(range(6)) for i in range(len(x)))
+
+
+def test_probes_grow_slower_than_the_shards():
+    p = GraphParams()
+    assert [p.probes(s) for s in (1, 8, 16, 64, 10_000)] == [1, 8, 8, 16, 200]
+
+
+def test_routed_neighbours_of_grouped_vectors(spark):
+    """With fewer probes than shards, near neighbours are found all the same."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 16))
+    x = centres[rng.integers(0, 40, 2000)] + 0.1 * rng.standard_normal((2000, 16))
+    data, df = frame(spark, [(1, 1, x)])
+    p = GraphParams(min_shard_rows=125, max_shard_rows=125, pivots_per_shard=8, min_probes=4, part_queries=1)
+    got = {tuple(r) for r in neighbour_pairs(nearest_neighbours(df, p)).collect()}
+    truth = brute_pairs(data, 5)
+    assert len(got & truth) / len(truth) > 0.95
