@@ -3,7 +3,8 @@
 The usable vectors of a column are cut into shards of 16,000 to 96,000 rows; each shard gets
 a robust-pruned directed graph (:mod:`keyloom.llm.graph`). Every vector searches the graph of
 its own shard, starting from itself, and by beam search the graphs of the shards that hold the
-pivots nearest to it. The beams are re-ranked by the exact cosine in double precision.
+pivots nearest to it, except those that by the triangle inequality cannot hold anything nearer
+than the k found at home. The beams are re-ranked by the exact cosine in double precision.
 
 Shards follow similarity: vectors go to the nearest of a bounded sample of pivots
 (``pivots_per_shard`` per shard, ``max_pivots`` at most), and the pivots' cells are packed into
@@ -39,6 +40,9 @@ from keyloom.llm.graph import VectorGraph, build_graph
 from keyloom.runtime import materialize
 
 
+_MARGIN = 1e-5  # above what rounding to 6 decimals and single precision can change
+
+
 @dataclass(frozen=True)
 class GraphParams:
     k: int = 5
@@ -121,11 +125,18 @@ class Column:
     first: np.ndarray  # pivot -> its entries, in order of the parts
     parts: np.ndarray  # pivot -> number of parts
     by_part: np.ndarray  # entries ordered by (pivot, part)
+    lowest: np.ndarray  # pivot -> least similarity of a member of its cell
     probes: int
 
 
-def _nearest_cell(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.concatenate([(unit[s : s + 2048] @ pivots.T).argmax(axis=1) for s in range(0, len(unit), 2048)])
+def _nearest_cell(unit: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector and the similarity to it."""
+    out = []
+    for s in range(0, len(unit), 2048):
+        sims = unit[s : s + 2048] @ pivots.T
+        cell = sims.argmax(axis=1)
+        out.append((cell, sims[np.arange(len(cell)), cell]))
+    return np.concatenate([c for c, _ in out]), np.concatenate([v for _, v in out])
 
 
 def _count_cells(pivots):
@@ -133,8 +144,11 @@ def _count_cells(pivots):
         for b in batches:
             for g, _, rows in _by_column(b):
                 if g in pivots.value:
-                    cell, n = np.unique(_nearest_cell(_unit(vector_rows(rows.column("vec"))), pivots.value[g]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(cell)), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["g", "cell", "n"])
+                    of, sim = _nearest_cell(_unit(vector_rows(rows.column("vec"))), pivots.value[g])
+                    cell, n = np.unique(of, return_counts=True)
+                    low = np.full(len(pivots.value[g]), 2.0)
+                    np.minimum.at(low, of, sim)
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(cell)), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(low[cell])], names=["g", "cell", "n", "low"])
 
     return count
 
@@ -147,7 +161,8 @@ def _mix(ids: np.ndarray) -> np.ndarray:
 
 
 def _place(plan):
-    """(g, id, vec, shard, far): the home shard and the others to search."""
+    """(g, id, vec, shard, far, bound): the home shard, the others to search, and the largest
+    similarity that a vector of each of those can have."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,37 +170,45 @@ def _place(plan):
                 known = plan.value[g]
                 n = rows.num_rows
                 if isinstance(known, int):
-                    shard, far = np.full(n, known, np.int32), pa.ListArray.from_arrays(np.zeros(n + 1, np.int32), pa.array([], pa.int32()))
+                    none = np.zeros(n + 1, np.int32)
+                    shard, far, bound = np.full(n, known, np.int32), pa.ListArray.from_arrays(none, pa.array([], pa.int32())), pa.ListArray.from_arrays(none, pa.array([], pa.float32()))
                 else:
-                    shard, far = _routes(_unit(vector_rows(rows.column("vec"))), rows.column("id").to_numpy(), known)
-                yield pa.RecordBatch.from_arrays([rows.column("g"), rows.column("id"), rows.column("vec"), pa.array(shard), far], names=["g", "id", "vec", "shard", "far"])
+                    shard, far, bound = _routes(_unit(vector_rows(rows.column("vec"))), rows.column("id").to_numpy(), known)
+                yield pa.RecordBatch.from_arrays([rows.column("g"), rows.column("id"), rows.column("vec"), pa.array(shard), far, bound], names=["g", "id", "vec", "shard", "far", "bound"])
 
     return place
 
 
-def _routes(unit: np.ndarray, ids: np.ndarray, c: Column) -> tuple[np.ndarray, pa.Array]:
+def _routes(unit: np.ndarray, ids: np.ndarray, c: Column) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Home shard, other shards and bounds. A member of a cell of angular radius r is within
+    r of the pivot, so it is at least angle(vector, pivot) - r from the vector."""
     numbers, starts = np.unique(c.shards, return_index=True)
-    home, lists, lengths = np.empty(len(unit), np.int32), [], np.empty(len(unit), np.int32)
+    cos_r = np.clip(c.lowest, -1.0, 1.0).astype(np.float32)
+    sin_r = np.sqrt(1 - cos_r**2)
+    home, lists, tops, lengths = np.empty(len(unit), np.int32), [], [], np.empty(len(unit), np.int32)
     for s in range(0, len(unit), 1024):
-        sims = unit[s : s + 1024] @ c.pivots.T
+        sims = np.clip(unit[s : s + 1024] @ c.pivots.T, -1.0, 1.0)
         cell = sims.argmax(axis=1)
         part = (_mix(ids[s : s + 1024]) % c.parts[cell].astype(np.uint64)).astype(np.int64)
         own = c.shards[c.by_part[c.first[cell] + part]]
         home[s : s + 1024] = own
         best = np.maximum.reduceat(sims[:, c.cells], starts, axis=1)  # nearest pivot of each shard
+        reach = np.where(sims >= cos_r, np.float32(1), sims * cos_r + np.sqrt(1 - sims**2) * sin_r)
+        top = np.maximum.reduceat(reach[:, c.cells], starts, axis=1)
         order = np.argsort(-best, axis=1, kind="stable")
         wanted = np.maximum(c.probes, c.parts[cell])[:, None] > np.arange(len(numbers))[None, :]
         chosen = numbers[order]
         wanted &= chosen != own[:, None]
         lists.append(chosen[wanted])
+        tops.append(np.take_along_axis(top, order, 1)[wanted])
         lengths[s : s + 1024] = wanted.sum(axis=1)
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return home, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists).astype(np.int32)))
+    return home, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tops).astype(np.float32)))
 
 
 def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, list[int]]:
-    """(g, id, vec, shard, far) with shards of about ``shard_rows`` rows and the other shards
-    each vector searches; and the number of vectors of each shard."""
+    """(g, id, vec, shard, far, bound) with shards of about ``shard_rows`` rows, the other shards
+    each vector may search and their bounds; and the number of vectors of each shard."""
     spark = vectors.sparkSession
     sizes = {r.g: r["count"] for r in vectors.groupBy("g").count().collect()}  # one row per vector column
     pivots: dict[str, np.ndarray] = {}
@@ -197,11 +220,11 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, list
         every = max(1, n // wanted)
         rows = vectors.where((F.col("g") == g) & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).orderBy(F.xxhash64("id")).limit(wanted).select("vec").collect()  # at most max_pivots
         pivots[g] = _unit(np.array([r.vec for r in rows], dtype=np.float32))
-    cells: dict[str, dict[int, int]] = {g: {} for g in sizes}
+    cells: dict[str, dict[int, tuple[int, float]]] = {g: {} for g in sizes}
     if pivots:
-        counted = vectors.select("g", "vec").mapInArrow(_count_cells(spark.sparkContext.broadcast(pivots)), "g string, cell int, n bigint")
-        for r in counted.groupBy("g", "cell").agg(F.sum("n").alias("n")).collect():  # at most max_pivots a column
-            cells[r.g][r.cell] = r.n
+        counted = vectors.select("g", "vec").mapInArrow(_count_cells(spark.sparkContext.broadcast(pivots)), "g string, cell int, n bigint, low double")
+        for r in counted.groupBy("g", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low")).collect():  # at most max_pivots a column
+            cells[r.g][r.cell] = (r.n, r.low)
     plan: dict[str, int | Column] = {}
     loads: list[int] = []
     for g in sorted(sizes):
@@ -214,7 +237,7 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, list
         n_shards = -(-sizes[g] // rows_each)
         load = [0] * n_shards
         entries = []  # (pivot, part, shard)
-        for n, cell in sorted(((n, cell) for cell, n in cells[g].items()), reverse=True):
+        for n, cell in sorted(((n, cell) for cell, (n, _) in cells[g].items()), reverse=True):
             parts = -(-n // rows_each)
             for part in range(parts):
                 lightest = min(range(n_shards), key=load.__getitem__)
@@ -226,9 +249,12 @@ def shard_by_pivots(vectors: DataFrame, p: GraphParams) -> tuple[DataFrame, list
         parts = np.zeros(len(pivots[g]), dtype=np.int64)
         np.add.at(parts, cell, 1)
         first = np.concatenate([[0], np.cumsum(parts)[:-1]])
-        plan[g] = Column(pivots[g], cell, shard, first, np.maximum(parts, 1), by_part, p.probes(n_shards))
+        lowest = np.ones(len(pivots[g]))
+        for member, (_, low) in cells[g].items():
+            lowest[member] = low - _MARGIN
+        plan[g] = Column(pivots[g], cell, shard, first, np.maximum(parts, 1), by_part, lowest, p.probes(n_shards))
         loads.extend(load)
-    placed = vectors.select("g", "id", "vec").mapInArrow(_place(spark.sparkContext.broadcast(plan)), "g string, id bigint, vec array<float>, shard int, far array<int>")
+    placed = vectors.select("g", "id", "vec").mapInArrow(_place(spark.sparkContext.broadcast(plan)), "g string, id bigint, vec array<float>, shard int, far array<int>, bound array<float>")
     return placed, loads
 
 
@@ -278,9 +304,6 @@ def _scan_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.
     return out_ids, out_sims
 
 
-_MARGIN = 1e-5  # above what rounding to 6 decimals and single precision can change
-
-
 def _exact_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, cand: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best by rounded double-precision cosine, then by id, of the beam ``cand`` with
     similarities ``near``, best first. All of the beam that may tie with the k-th is ranked; a
@@ -302,7 +325,7 @@ def _exact_top(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np
 
 
 # -- building and searching ------------------------------------------------------------------
-_INDEX = "g string, shard int, id bigint, vec array<float>, far array<int>, edges array<int>, best array<bigint>, sims array<double>"
+_INDEX = "g string, shard int, id bigint, vec array<float>, far array<int>, bound array<float>, edges array<int>, best array<bigint>, sims array<double>"
 
 
 def _lists(matrix: np.ndarray) -> pa.Array:
@@ -327,7 +350,7 @@ def _builder(p: GraphParams):
         g = build_graph(unit, degree=p.degree, beam=p.beam, alpha=p.alpha)
         cand, near = g.search(unit, p.beam, own=np.arange(len(ids), dtype=np.int32))
         best, sims = _exact_top(rows, ids, rows, ids, cand, near, p.k)
-        out = pa.Table.from_arrays([t["g"], t["shard"], t["id"], t["vec"], t["far"], _lists(g.graph), _lists(best), _lists(sims)], names=["g", "shard", "id", "vec", "far", "edges", "best", "sims"])
+        out = pa.Table.from_arrays([t["g"], t["shard"], t["id"], t["vec"], t["far"], t["bound"], _lists(g.graph), _lists(best), _lists(sims)], names=["g", "shard", "id", "vec", "far", "bound", "edges", "best", "sims"])
         yield from out.to_batches(max_chunksize=10_000)
 
     return build
@@ -384,7 +407,10 @@ def search_index(index: DataFrame, loads: list[int], p: GraphParams) -> DataFram
     found = F.arrays_zip(F.col("best").alias("c"), F.col("sims").alias("sim"))
     home = index.select("g", F.col("id").alias("q"), F.inline(found)).where("c >= 0")
     spark = index.sparkSession
-    sent = index.select("g", "id", "vec", F.explode("far").alias("shard"))
+    # a shard whose nearest possible vector is farther than the k-th at home is not searched
+    worst = F.element_at("sims", -1) - F.lit(_MARGIN)
+    open_ = F.transform(F.filter(F.arrays_zip("far", "bound"), lambda x: x["bound"] >= worst), lambda x: x["far"])
+    sent = index.select("g", "id", "vec", F.explode(open_).alias("shard"))
     arriving = {r.shard: r["count"] for r in sent.groupBy("shard").count().collect()}  # one row per shard
     if not arriving:
         return home
