@@ -5,11 +5,12 @@ Steps
        everything below works on that list, whatever arrives meanwhile.
     2. *Stage*: records of the listed segments, identified by (meta_id, idx), each once.
        Catalog sizes and row counts are not trusted; bytes are measured from the records.
-    3. *Pack*: the items are (meta_id, piece) with their measured bytes; a piece is a range of
-       ``piece_rows`` row numbers, so a giant segment becomes several items. First-fit
+    3. *Pack*: the items are (meta_id, piece) with their measured bytes; a segment of more than
+       ``target_bytes`` is cut into pieces of about that size by row number. First-fit
        decreasing fills bins of ``target_bytes`` per table, in groups of at most
        ``group_items`` items, so no task sees an unbounded list.
-    4. *Rewrite*: bins are numbered densely; partition n of the write is bin n, one file each.
+    4. *Rewrite*: bins are numbered densely; a bin belongs to one of at most ``max_tasks``
+       tasks, which writes its bins one after the other, one file each.
     5. *Verify*: row count and an order-free checksum of the files as read back must equal
        those of the staged records.
     6. *Commit*: one manifest rename publishes the new segments. Before it, readers see
@@ -78,29 +79,39 @@ class SegmentCompactor:
     """Rewrites segments into ``out`` and publishes them there."""
 
     COLUMNS = ["table_id", "meta_id", "idx", "pk", "tx_id", "created", "not_null_cols", "uud", "vec"]
+    WIDTH = "40 + coalesce(octet_length(uud), 0) + 4 * coalesce(size(vec), 0)"  # bytes before compression, an upper bound of a file's share
 
-    def __init__(self, spark: SparkSession, out: str | None = None, *, target_bytes: int = 128 << 20, piece_rows: int = 1_000_000, group_items: int = 50_000) -> None:
+    def __init__(self, spark: SparkSession, out: str | None = None, *, target_bytes: int = 128 << 20, group_items: int = 50_000, max_tasks: int = 10_000) -> None:
         self.spark = spark
         self.out = out or new_path(spark, "segments")
-        self.target_bytes, self.piece_rows, self.group_items = target_bytes, piece_rows, group_items
+        self.target_bytes, self.group_items, self.max_tasks = target_bytes, group_items, max_tasks
 
     # -- steps ---------------------------------------------------------------------------
     def freeze(self, metas: DataFrame) -> DataFrame:
         return materialize(metas.where("has_summary").select("segment_id", "meta_id", "table_id").distinct(), "frozen")
 
-    def stage(self, frozen: DataFrame, rows: DataFrame, vectors: DataFrame | None) -> DataFrame:
-        records = rows.select("segment_id", "idx", "pk", "tx_id", "created", "not_null_cols", "uud", F.lit(None).cast("array<float>").alias("vec"))
+    def stage(self, frozen: DataFrame, rows: DataFrame | None, vectors: DataFrame | None) -> DataFrame:
+        parts = []
+        if rows is not None:
+            parts.append(rows.select("segment_id", "idx", "pk", "tx_id", "created", "not_null_cols", "uud", F.lit(None).cast("array<float>").alias("vec")))
         if vectors is not None:
-            records = records.unionByName(vectors.select("segment_id", "idx", F.col("vec_id").alias("pk"), F.lit(None).cast("bigint").alias("tx_id"), F.lit(None).cast("bigint").alias("created"), F.lit(None).cast("int").alias("not_null_cols"), F.lit(None).cast("string").alias("uud"), "vec"))
+            parts.append(vectors.select("segment_id", "idx", F.col("vec_id").alias("pk"), F.lit(None).cast("bigint").alias("tx_id"), F.lit(None).cast("bigint").alias("created"), F.lit(None).cast("int").alias("not_null_cols"), F.lit(None).cast("string").alias("uud"), "vec"))
+        records = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         valid = records.join(frozen, "segment_id").select(*self.COLUMNS)
         best = Window.partitionBy("meta_id", "idx").orderBy(*[F.col(c).desc_nulls_last() for c in ("tx_id", "created", "not_null_cols", "uud", "pk", "table_id")])
         once = valid.withColumn("__rn", F.row_number().over(best)).where("__rn <= 1").drop("__rn")
-        return materialize(once.withColumn("__piece", F.coalesce(F.floor(F.col("idx") / self.piece_rows), F.lit(-1))), "staged")
+        return materialize(once, "staged")
 
-    def pack(self, staged: DataFrame) -> DataFrame:
+    def pieces(self, staged: DataFrame) -> DataFrame:
+        """``staged`` with ``__piece``: segments of more than a file are cut by their bytes."""
+        sizes = staged.groupBy("meta_id").agg(F.sum(F.expr(self.WIDTH)).alias("bytes"), (F.max("idx") + 1).alias("rows"))
+        # at most all bytes / target_bytes rows
+        large = F.broadcast(sizes.where(F.col("bytes") > self.target_bytes).select(F.col("meta_id").alias("__m"), F.greatest(F.lit(1), F.floor(F.col("rows") * self.target_bytes / F.col("bytes"))).alias("__each")))
+        return staged.join(large, F.col("meta_id").eqNullSafe(F.col("__m")), "left").withColumn("__piece", F.coalesce(F.floor(F.col("idx") / F.col("__each")), F.when(F.col("idx").isNull(), F.lit(-1)), F.lit(0)).cast("bigint")).drop("__m", "__each")
+
+    def pack(self, pieced: DataFrame) -> DataFrame:
         """(meta_id, __piece) -> dense bin number."""
-        width = F.lit(40) + F.coalesce(F.octet_length("uud"), F.lit(0)) + 4 * F.coalesce(F.size("vec"), F.lit(0))
-        items = staged.groupBy("meta_id", "__piece").agg(F.min("table_id").alias("table_id"), F.sum(width).alias("bytes"))
+        items = pieced.groupBy("meta_id", "__piece").agg(F.min("table_id").alias("table_id"), F.sum(F.expr(self.WIDTH)).alias("bytes"))
         # groups of a bounded number of items: a table with many items is cut by hash
         groups = items.groupBy("table_id").agg(F.ceil(F.count(F.lit(1)) / self.group_items).alias("groups"))
         items = items.join(groups.withColumnRenamed("table_id", "__t"), F.col("table_id").eqNullSafe(F.col("__t"))).drop("__t")
@@ -125,16 +136,20 @@ class SegmentCompactor:
         n, s = df.agg(F.count(F.lit(1)), F.sum(h)).first()
         return n, int(s or 0)
 
-    def run(self, metas: DataFrame, rows: DataFrame, vectors: DataFrame | None = None) -> CompactionReport:
+    def run(self, metas: DataFrame, rows: DataFrame | None, vectors: DataFrame | None = None) -> CompactionReport:
+        """Compact row segments, vector segments or both."""
         frozen = self.freeze(metas)
         staged = self.stage(frozen, rows, vectors)
-        bins = materialize(self.pack(staged), "bins")
+        pieced = self.pieces(staged)
+        bins = materialize(self.pack(pieced), "bins")
         n_bins = (bins.agg(F.max("bin")).first()[0] or 0) + 1
         data = f"{self.out}/data"
-        placed = staged.join(bins.select(F.col("meta_id").alias("__m"), F.col("__piece").alias("__p"), "bin"), F.col("meta_id").eqNullSafe(F.col("__m")) & (F.col("__piece") == F.col("__p")))
+        placed = pieced.join(bins.select(F.col("meta_id").alias("__m"), F.col("__piece").alias("__p"), "bin"), F.col("meta_id").eqNullSafe(F.col("__m")) & (F.col("__piece") == F.col("__p")))
         placed = placed.select(*self.COLUMNS, F.col("bin").cast("int").alias("bin"))
-        placed.repartitionById(n_bins, "bin").sortWithinPartitions("meta_id", "idx").write.mode("overwrite").parquet(data)
-        before, after = self._checksum(staged), self._checksum(self.spark.read.parquet(data))
+        n_tasks = min(n_bins, self.max_tasks)
+        spread = placed.withColumn("__task", F.pmod("bin", F.lit(n_tasks))).repartitionById(n_tasks, "__task").drop("__task")
+        spread.sortWithinPartitions("bin", "meta_id", "idx").write.mode("overwrite").partitionBy("bin").parquet(data)
+        before, after = self._checksum(staged), self._checksum(self._files(data))
         if before != after:
             raise RuntimeError(f"rewritten segments differ from the records: {before} against {after}")
         report = CompactionReport(frozen.count(), before[0], n_bins, before[1])
@@ -149,7 +164,12 @@ class SegmentCompactor:
         found = read_manifest(self.spark, f"{self.out}/_manifest")
         if not found:
             raise RuntimeError("nothing is committed here")
-        return self.spark.read.parquet(found[1]["data"])
+        return self._files(found[1]["data"])
+
+    def _files(self, data: str) -> DataFrame:
+        kinds = {"idx": "bigint", "not_null_cols": "int", "uud": "string", "vec": "array<float>"}
+        schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in self.COLUMNS)
+        return self.spark.read.schema(f"{schema}, bin int").parquet(data)
 
 
 def bin_layout(records: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def test_compaction(spark):
     metas = spark.createDataFrame([(1, 10, 1, True, 3), (2, 10, 1, False, 0), (3, 30, 1, True, None), (4, 40, 2, True, 9), (5, 50, 2, None, 1), (6, 60, None, True, 1), (7, 70, 3, True, 0), (4, 40, 2, True, 9)], META)
     data = [(1, 0, 1, 1, 1, 3, "a", "b"), (1, 0, 1, 1, 1, 3, "a", "b"), (1, 1, 2, 2, 1, 0, None, None), (2, 5, 9, 9, 9, 1, "not valid", None), (3, 0, 3, 3, 1, 1, "c" * 500, None), (4, 0, 4, 4, 1, 1, "d", None), (4, None, 4, 4, 1, 1, None, None), (5, 0, 1, 1, 1, 1, "x", None), (6, 0, 6, None, None, None, None, None), (99, 0, 1, 1, 1, 1, "unlisted", None)]
     vecs = spark.createDataFrame([(1, 4, 100, [1.0, 2.0]), (2, 4, 101, None)], VECS)
-    job = SegmentCompactor(spark, target_bytes=400, piece_rows=2)
+    job = SegmentCompactor(spark, target_bytes=400)
     report = job.run(metas, spark.createDataFrame(data, ROWS), vecs)
     got = job.read()
     expected = [(10, 0), (10, 1), (30, 0), (40, -1), (40, 0), (40, 100), (40, 101), (60, 0)]
