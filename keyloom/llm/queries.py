@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyloom.llm import leakage, markov, neighbours, packing, residue, seen
 from keyloom.runtime import read_table
@@ -54,7 +55,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_clusters, p6_found, p7_containers, p7_fill_rate, p8_found, p8_passages, p9_found)}
+def p9_signs(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each detector gives away."""
+    return residue.residue_signs(read_table(spark, d, "documents")).groupBy("sign").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p4_found, p4_clusters, p6_found, p7_containers, p7_fill_rate, p8_found, p8_passages, p9_found, p9_signs)}
 
 _SEEN = """SELECT arrival_id FROM (SELECT arrival_id, row_number() OVER
     (PARTITION BY table_id, coalesce(key_vector, [primary_key]) ORDER BY arrival_id) AS rn FROM key_arrivals) WHERE rn > 1"""

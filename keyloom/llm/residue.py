@@ -5,20 +5,21 @@ lines of its own, while documents that speak about it do so within sentences. En
 compatibility characters, invisible characters, letter case and spacing are resolved first;
 quoted lines and code blocks are examples and are skipped.
 
-Detectors: a line is residue if its parts (sentences, or pieces between separators) are all
-page-production text and at least one part is a sure sign:
-  * unfilled placeholders that make up a large part of the words, or their printed remains
-    (undefined, NaN, [object Object] ...);
-  * filler: lorem ipsum, keyboard runs, one or two words over and over, "sample text here",
-    notes to the writer such as "TODO: write this section";
-  * error pages: a status with its reason, or a sentence that excuses a missing page;
-  * notices that scripts are needed.
-
-Host evidence: a line that shares no term with the title or the address of its document, has
-no informative term (identifiers, numbers), and comes back under many titles on many hosts is a
-duplicated low-information response. The first or only line has no title; it is judged by the
-address alone and by the documents it comes back in. Such a line is residue if it also uses two words of page
-production (``_CUES``), so that wordings no detector knows are found.
+Detectors, all of whole lines:
+  * *placeholder*: unfilled placeholders of any usual shape that make up a large part of the
+    words, or their printed remains (undefined, NaN, [object Object] ...);
+  * *filler*: lorem ipsum, keyboard runs, one or two words over and over;
+  * *script*, *error*, *filler* by concept (:mod:`keyloom.llm.pagewords`): a line that joins the
+    concepts of a script notice, an error page or a note to the writer, says next to nothing
+    else, and takes up no term of the title or the address;
+  * *wording*: known wordings whose concepts alone do not suffice.
+
+*Host evidence* (``hosts``): a line that shares no term with the title or the address of its
+document, has no informative term (identifiers, numbers), uses two words of page production
+(``_CUES``), and comes back under ``title_share`` of the documents of the hosts it is on and on
+``host_share`` of all hosts is a duplicated low-information response. The first or only line has no
+title; it is judged by the address alone and by the documents it comes back in. Both shares are
+relative, so a document is judged alike at every size of the corpus.
 
 Defined results: null and blank texts are no cases; repeated documents are judged alike; an
 empty table gives no rows; texts are read whole; other columns are not read.
@@ -35,6 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.pagewords import page_speech
 from keyloom.llm.text import invisible, unescape
 from keyloom.runtime import materialize
 
@@ -80,7 +82,7 @@ _PLACEHOLDER = re.compile(
             rf"\{{\{{\s*{_NAME}\s*\}}\}}", rf"\$\{{\s*{_NAME}\s*\}}", rf"#\{{\s*{_NAME}\s*\}}", rf"%\(\s*{_NAME}\s*\)[sd]", r"%[a-z_][\w.]*%",
             rf"@@\s*{_NAME}\s*@@", r"__[a-z][\w.]*__", rf"<%=?\s*{_NAME}\s*%>", rf"<\?=?\s*\$?{_NAME}\s*\?>", rf"\[\[\s*{_NAME}\s*\]\]", r"«\s*[a-z_][\w.]*\s*»",
             rf"\[(?:insert|your|enter|add|put) {_NAME}(?: here)?\]", rf"<(?:insert |your )?{_NAME}(?: goes)? here>", r"<[a-z_][\w.]*>", r"\{[a-z_][\w.]*\}",
-            rf"\{{%\s*{_NAME}\s*%\}}",
+            rf"\{{%\s*{_NAME}\s*%\}}", r"\[[a-z]+(?:_[a-z]+)+\]", r"%%\s*[a-z][\w. ]*%%", r"\[(?:your|customer|company|user|product|client|recipient)(?: \w+)?\]",
         )
     )
 )
@@ -193,17 +195,27 @@ def _repetitive(words: list[str]) -> bool:
     return len(set(letters)) == 1 or sum(w in _KEYBOARD for w in letters) >= 0.8 * len(letters)
 
 
-def is_residue(line: str) -> bool:
-    """Whether a normalised line is page-production text as a whole."""
+def residue_kind(line: str, context: frozenset[str] | set[str] = frozenset()) -> str | None:
+    """What a normalised line is left over from, or None. ``context``: terms of the title and
+    the address; a line that takes one of them up is judged by known wordings only."""
     line = _BULLET.sub("", line)
     if (_MARKS.search(line) and _dense(line, _PLACEHOLDER, 1)) or _dense(line, _UNFILLED, 2, 2.0):
-        return True
+        return "placeholder"
     words = _WORDS.findall(line)
     if _repetitive(words):
-        return True
+        return "filler"
     latin = [w for w in words if w in _LOREM]
     if len(latin) >= 0.8 * len(words) and len({w for w in latin if len(w) > 3}) >= 3:
-        return True
+        return "filler"
+    return page_speech(line, context) or ("wording" if _known_wording(line) else None)
+
+
+def is_residue(line: str) -> bool:
+    """Whether a normalised line is page-production text as a whole."""
+    return residue_kind(line) is not None
+
+
+def _known_wording(line: str) -> bool:
     if any(p.fullmatch(line) for p in (_SCRIPT, _ERROR, _FILLER)):
         return True
     sure = False
@@ -229,11 +241,10 @@ _INFORMATIVE = re.compile(r"\d|\w\.\w|\w_\w|[a-z]+-\d|\"|\(|=")
 
 
 def low_information(line: str, context: set[str]) -> bool:
-    """A short line without informative terms or terms of the title and address."""
-    if len(line) > 160 or _INFORMATIVE.search(line):
+    """A line without informative terms or terms of the title and address."""
+    if _INFORMATIVE.search(line):
         return False
-    words = _WORDS.findall(line)
-    return 3 <= len(words) <= 20 and not (set(words) & context) and len({m.group() for m in _CUES.finditer(line)}) >= 2
+    return not (set(_WORDS.findall(line)) & context) and len({m.group() for m in _CUES.finditer(line)}) >= 2
 
 
 _STOP = frozenset("a an and the of in on to for is was about after before with not no".split())
@@ -246,18 +257,19 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text or not text.strip():
                 continue
             all_lines = list(lines(text))
-            if any(is_residue(x) for x in all_lines):
-                out.append((doc, True, None, None, None))
-                continue
             if not all_lines:
                 continue
             title, address = all_lines[0], set(_WORDS.findall((host or "").lower())) - _STOP
-            if low_information(title, address):  # the whole text, or no title but the response itself
-                out.append((doc, False, title, f"document {doc}", host))
             context = (set(_WORDS.findall(title)) - _STOP) | address
+            sign = next((r for k, x in enumerate(all_lines) if (r := residue_kind(x, context if k else address))), None)
+            if sign:
+                out.append((doc, sign, None, None, None))
+                continue
+            if low_information(title, address):  # the whole text, or no title but the response itself
+                out.append((doc, None, title, f"document {doc}", host))
             for x in {y for y in all_lines[1:] if low_information(y, context)}:
-                out.append((doc, False, x, hash_title(title), host))
-        yield pd.DataFrame(out, columns=["__id", "sure", "line", "title", "host"])
+                out.append((doc, None, x, hash_title(title), host))
+        yield pd.DataFrame(out, columns=["__id", "sign", "line", "title", "host"])
 
 
 def hash_title(title: str) -> str:
@@ -265,15 +277,28 @@ def hash_title(title: str) -> str:
     return hashlib.blake2b(re.sub(r"\d+", "0", title).encode(errors="surrogatepass"), digest_size=16).hexdigest()
 
 
-def residue_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_titles: int = 20, min_hosts: int = 5) -> DataFrame:
-    """The ids of documents with template residue, filler, error pages or script notices."""
+def residue_signs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", title_share: float = 0.002, host_share: float = 0.05, least_titles: int = 3) -> DataFrame:
+    """(doc_id, sign): every residue document once, with what gave it away: ``placeholder``,
+    ``filler``, ``script``, ``error`` (shape and concepts of a line), ``wording`` (a known
+    wording only) or ``hosts`` (a duplicated response)."""
     id_type = docs.schema[doc_id].dataType.simpleString()
     src = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.col(host).alias("__host")).where(F.col("__text").isNotNull())
-    scanned = materialize(src.mapInPandas(_scan, f"__id {id_type}, sure boolean, line string, title string, host string"), "residue")
-    sure = scanned.where("sure").select("__id")
+    scanned = materialize(src.mapInPandas(_scan, f"__id {id_type}, sign string, line string, title string, host string"), "residue")
+    sure = scanned.where("sign IS NOT NULL").select("__id", "sign")
     # low-information lines: distinct (line, title, host) first, so a line on a third of all
     # pages is combined before it is counted
-    seen = scanned.where("NOT sure").select("line", "title", "host").distinct()
-    common = seen.groupBy("line").agg(F.approx_count_distinct("title").alias("titles"), F.approx_count_distinct("host").alias("hosts")).where((F.col("titles") >= min_titles) & (F.col("hosts") >= min_hosts)).select("line")
-    by_host = scanned.where("NOT sure").join(common, "line", "left_semi").select("__id")
-    return sure.unionAll(by_host).distinct().select(F.col("__id").alias(doc_id))
+    loose = scanned.where("sign IS NULL").withColumn("host", F.coalesce("host", F.lit("")))
+    per_host = loose.select("line", "title", "host").distinct().groupBy("line", "host").agg(F.count(F.lit(1)).alias("titles"))
+    sizes = src.groupBy(F.coalesce("__host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("docs"))
+    share = per_host.join(sizes, "host").groupBy("line").agg(F.sum("titles").alias("titles"), F.count(F.lit(1)).alias("hosts"), F.sum("docs").alias("docs"))
+    n_hosts = sizes.agg(F.count(F.lit(1)).alias("n_hosts"))  # one number
+    enough_titles = F.col("titles") >= F.greatest(F.lit(least_titles), F.col("docs") * title_share)
+    enough_hosts = F.col("hosts") >= F.greatest(F.lit(2), F.col("n_hosts") * host_share)
+    common = share.crossJoin(F.broadcast(n_hosts)).where(enough_titles & enough_hosts).select("line")
+    by_host = loose.join(common, "line", "left_semi").select("__id", F.lit("hosts").alias("sign"))
+    return sure.unionAll(by_host).groupBy("__id").agg(F.min("sign").alias("sign")).select(F.col("__id").alias(doc_id), "sign")
+
+
+def residue_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", **shares: float) -> DataFrame:
+    """The ids of documents with template residue, filler, error pages or script notices."""
+    return residue_signs(docs, doc_id=doc_id, text=text, host=host, **shares).select(doc_id)

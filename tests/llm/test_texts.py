@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from keyloom.llm.leakage import leaked_items
 from keyloom.llm.packing import TOKENIZER, best_filling, fill_rate, minimum_bin_slack, pack, token_counts
-from keyloom.llm.residue import clean, is_residue, lines, residue_documents
+from keyloom.llm.residue import clean, is_residue, lines, residue_documents, residue_signs
 from keyloom.llm.text import words, words_with_spans
 
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="the tokenizer files are not here")
@@ -140,6 +140,95 @@ def test_content_lines(text):
     assert not any(is_residue(x) for x in lines(text))
 
 
+# wordings that no list of the module was read against
+HELD_OUT = """
+You'll need to switch on JavaScript before we can display the catalogue.
+Scripting has been turned off; nothing can be displayed.
+Hello [FIRST_NAME], thanks for contacting [COMPANY].
+Insert chapter text here
+Origin unreachable (521)
+Страница не найдена
+We're sorry, but our site doesn't work properly without JavaScript enabled.
+This application requires scripts. Please allow them and reload.
+Your browser has JavaScript turned off.
+JavaScript must be switched on to load this document.
+Scripts are blocked; please permit them to continue.
+Cookies are disabled. Please enable cookies in your browser.
+Per visualizzare questa pagina, attivare JavaScript nel browser
+Para ver esta página, habilite JavaScript en su navegador.
+Bitte schalten Sie JavaScript in Ihrem Browser ein, um die Seite zu laden.
+Sorry, the page you were looking for doesn't exist.
+The requested URL was not found on this server.
+Sorry, this content isn't available right now
+HTTP ERROR 500
+502 Bad Gateway
+This site can't be reached
+The connection has timed out
+The server is temporarily unable to service your request. Please try again later.
+Your session has expired, please log in again.
+We are down for maintenance. Please check back soon.
+You don't have permission to access this resource.
+Access to this page has been denied.
+Too many requests, please wait a few minutes.
+The upstream server returned an invalid response.
+Diese Seite ist leider nicht verfügbar.
+La page demandée est introuvable.
+La página que busca no existe.
+Pagina non trovata
+Service currently offline, please retry shortly.
+Internal server error: the request failed.
+The link you followed may be broken, or the page may have been removed.
+Write your introduction here
+Add a description here
+Replace this placeholder text before publishing.
+[Company_Name] welcomes you, [Customer_Name]
+Dear %%FIRSTNAME%%, your order %%ORDER%% is ready.
+Hi {{user.first_name}}, welcome to {{ site.name }}
+<%= title %>
+Placeholder paragraph. Enter your text.
+This is sample text. Edit this paragraph to add your own.
+TODO: fill in summary
+Your headline goes here
+lorem ipsum dolor sit amet
+Title of ${page.title}
+Dummy content, to be replaced by the writer.
+""".strip().splitlines()
+HELD_OUT_CONTENT = """
+The viewer needs JavaScript 1.8 or later, which is why the console of 2019 fails on old terminals.
+We replaced the placeholder in the template with the table name during the build.
+When the server returns 503 the client waits and sends the batch to another replica.
+A page that is not found in the cache is read from the segment file.
+The request failed because the writer had been stopped for compaction.
+Errors in the summary file are reported by the loader with the segment number.
+The text of the paragraph describes how the range index works.
+You can add a description to every column of the table.
+Our users asked why the error page of the portal appears after each upgrade of the index.
+The script loads ten million keys and prints the throughput.
+Pages are flushed when the memory table is full.
+Timeouts on the second node were caused by a slow disk.
+The session expired while the import of the orders was running, so the rows were lost.
+Enable the summary option before you load the segments.
+Not every key exists in every segment.
+Sample rows of the table follow.
+The title column is required and must not be null.
+The connection pool of the gateway holds 20 sessions.
+If a document is removed, its vectors are removed as well.
+The heading names the keyspace and the text below explains the columns.
+""".strip().splitlines()
+
+
+def test_held_out_wordings():
+    found = [t for t in HELD_OUT if any(is_residue(x) for x in lines(t))]
+    assert len(found) >= 0.8 * len(HELD_OUT) and len(HELD_OUT) >= 40
+    assert not [t for t in HELD_OUT_CONTENT if any(is_residue(x) for x in lines(t))]
+
+
+def test_signs_and_titles(spark):
+    docs = [(1, "{{ title }}", "a"), (2, "Please enable JavaScript to view this page.", "a"), (3, "404 Not Found", None), (4, "Something real.", "b"), (5, "Catalogue errors\n\nThe catalogue page was not found.", "b")]
+    got = {r.doc_id: r.sign for r in residue_signs(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got == {1: "placeholder", 2: "script", 3: "error"}  # 5 takes up its title
+
+
 def test_residue_documents(spark):
     docs = [(i, t, "h", None) for i, t in enumerate(RESIDUE)] + [(100 + i, t, None, 1) for i, t in enumerate(CONTENT)]
     docs += [(200, None, "h", 1), (201, " \n ", "h", 1), (202, "Real words.\n\n" + "more of them. " * 5000 + "\n\n404 Not Found\n\nend", None, 1), (203, "```\n404 Not Found\n```\nhow it looks", "h", 1), (203, RESIDUE[0], "h", 1)]
@@ -151,7 +240,7 @@ def test_residue_documents(spark):
 def test_host_evidence_finds_unknown_wordings(spark):
     notice = "whatever you came for, our server has denied the visit"
     docs = [(i, f"Report number {chr(97 + i % 26)}{chr(97 + i // 26)} about grain\n\n{notice}", f"host{i % 7}") for i in range(60)]
-    docs += [(100 + i, f"Only here {chr(97 + i)}\n\nthe server has denied us the visit", "host1") for i in range(3)]
+    docs += [(100 + i, f"Only here {chr(97 + i)}\n\nthe server has denied us the visit to the old barn today", "host1") for i in range(3)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     assert sorted(r.doc_id for r in residue_documents(df).collect()) == list(range(60))
 
@@ -159,8 +248,8 @@ def test_host_evidence_finds_unknown_wordings(spark):
 def test_host_evidence_finds_texts_of_one_line(spark):
     notice = "whatever you came for, our server has denied the visit"
     docs = [(i, notice, f"host{i % 7}") for i in range(30)]
-    docs += [(100 + i, "the server has denied us the visit", "host1") for i in range(30)]  # one host
-    docs += [(200 + i, "the request went to the server", f"host{i}") for i in range(8)]  # few documents
+    docs += [(100 + i, "the server has denied us the visit to the old barn today", "host1") for i in range(30)]  # one host
+    docs += [(200 + i, "the request went to the server", f"host{i}") for i in range(2)]  # few documents
     long = "a report about grain and barley and oats and rye and wheat and the weather of the year in "
     docs += [(300 + i, f"{long} {chr(97 + i)}\n\nno visit: the server has denied what you came for", f"host{i % 7}") for i in range(26)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
