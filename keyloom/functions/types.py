@@ -110,11 +110,11 @@ def from_spark(dt: T.DataType, dimension: int = 0) -> ColumnType:
 
 
 # -- literals ----------------------------------------------------------------------------------
-def _integer(text: str, limit: int) -> int:
-    if not re.fullmatch(r"\+?\d+", text):
+def _integer(text: str, limit: int, signed: bool = False) -> int:
+    if not re.fullmatch(r"[+-]?\d+" if signed else r"\+?\d+", text):
         raise bad_value(f"bad value {text!r}")
     n = int(text)
-    if n > limit:
+    if abs(n) > limit:
         raise bad_value(f"bad value {text!r}: above {limit}")
     return n
 
@@ -127,15 +127,16 @@ def _real(text: str, single: bool) -> float:
         raise bad_value(f"bad value {text!r}") from e
 
 
-def parse_literal(value: object, ctype: ColumnType, wide_long: bool = False):
-    """A literal or a bound Python value as a value of the column, checked for range."""
+def parse_literal(value: object, ctype: ColumnType, wide_long: bool = False, signed: bool = False):
+    """A literal or a bound Python value as a value of the column, checked for range.
+    ``signed``: columns of registered files, which may hold negative numbers."""
     if value is None:
         return None
     kind = ctype.kind
     if kind.family == "int":
         if isinstance(value, bool) or isinstance(value, float):
             raise bad_value(f"bad value {value!r}")
-        n = _integer(str(value).strip(), ctype.limit(wide_long))
+        n = _integer(str(value).strip(), ctype.limit(wide_long), signed)
         return Decimal(n) if wide_long and kind.name == "LONG" else n
     if kind.family == "float":
         if isinstance(value, bool):

@@ -1,11 +1,12 @@
 """Problem 1: apply a feed of inserts, updates and deletes.
 
-A :class:`ChangeLog` is a log-structured table. Every batch of changes becomes one *run*:
-the newest write of each key in the batch, hash-bucketed by key and sorted by key and
-sequence. A read merges the runs: the files of one bucket are read by one task, so the merge
+A :class:`ChangeLog` is a log-structured table. Every batch of changes becomes one *run*, or
+several runs that are written in one pass: the newest write of each key in the run,
+hash-bucketed by key and sorted by key and sequence. A read merges the runs: the files of one bucket are read by one task, so the merge
 needs no exchange, only the per-bucket merge by (key, sequence descending), of which the first
 row per key survives unless it is a tombstone. When more than ``fan_in`` runs exist they are
-compacted into one base run; the swap is one manifest rename.
+compacted into one base run; the swap is one manifest rename, and the files of the generation
+before stay until the next compaction, for readers that planned with them.
 
 Defined results
     * the write with the highest sequence number decides; arrival order does not matter;
@@ -23,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.runtime import delete_path, fresh, new_path, shuffle_partitions
+from keyloom.runtime import delete_path, fresh, hadoop_path, new_path, shuffle_partitions
 from keyloom.sources.manifest import commit_manifest, read_manifest
 
 
@@ -52,23 +53,20 @@ class ChangeLog:
     # -- writing -----------------------------------------------------------------------
     def _write(self, df: DataFrame, generation: str) -> None:
         """Sorted, bucketed files. The exchange of :func:`newest_per_key` has the table's
-        number of buckets, so a task writes whole buckets and no second exchange is needed."""
+        number of buckets where the session agrees with it, so a task writes whole buckets and
+        no second exchange is needed."""
+        if shuffle_partitions(self.spark) != self.state["buckets"]:
+            df = df.repartition(self.state["buckets"], *self.keys)
+        self._register(generation)
         (
             df.write.format("parquet").mode("append")
             .bucketBy(self.state["buckets"], *self.keys).sortBy(*self.keys, self.seq)
             .option("path", f"{self.path}/{generation}").saveAsTable(generation)
         )
 
-    def _with_buckets(self, build) -> None:
-        old = self.spark.conf.get("spark.sql.shuffle.partitions")
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.state["buckets"]))
-        try:
-            build()
-        finally:
-            self.spark.conf.set("spark.sql.shuffle.partitions", old)
-
-    def append(self, changes: DataFrame) -> int:
-        """Add one batch as a new run and return its number."""
+    def append(self, changes: DataFrame, parts: Column | None = None, n_parts: int = 1) -> int:
+        """Add one batch as a new run and return its number; with ``parts`` (0 to
+        ``n_parts`` - 1 per row) as ``n_parts`` runs, written together."""
         if self.RUN in changes.columns:
             raise ValueError(f"the column name {self.RUN} is reserved")
         missing = [c for c in [*self.keys, self.seq, self.deleted, *self.tie] if c not in changes.columns]
@@ -80,9 +78,14 @@ class ChangeLog:
             state["generation"] = f"keyloom_{uuid.uuid4().hex}"
             state["columns"] = changes.columns
             self.state = state
-        newest = newest_per_key(changes.select(*state["columns"]), self.keys, self.seq, self.tie)
-        self._with_buckets(lambda: self._write(newest.withColumn(self.RUN, F.lit(run)), state["generation"]))
-        self._commit(state | {"runs": [*state["runs"], run], "next_run": run + 1})
+        numbered = changes.select(*state["columns"], ((F.lit(0) if parts is None else parts) + run).cast("int").alias(self.RUN))
+        # the runs of a key share its bucket, so one exchange serves them all
+        w = Window.partitionBy(*self.keys, self.RUN)
+        order = [F.col(self.seq).desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in self.tie)]
+        rn = fresh(numbered, "__rn")
+        newest = numbered.withColumn(rn, F.row_number().over(w.orderBy(*order))).where(F.col(rn) <= 1).drop(rn)
+        self._write(newest if n_parts == 1 else newest.repartition(self.state["buckets"], *self.keys), state["generation"])
+        self._commit(state | {"runs": [*state["runs"], *range(run, run + n_parts)], "next_run": run + n_parts})
         if len(self.state["runs"]) > self.fan_in:
             self.compact()
         return run
@@ -92,13 +95,26 @@ class ChangeLog:
         self.version, self.state = self.version + 1, state
 
     # -- reading -----------------------------------------------------------------------
-    def _table(self) -> DataFrame:
-        name = self.state["generation"]
-        if not self.spark.catalog.tableExists(name):  # a log that another session wrote
+    def _register(self, name: str) -> None:
+        """Name a generation's files in the session, which bucketed reads and writes need."""
+        if self.spark.catalog.tableExists(name):
+            return
+        fs, p = hadoop_path(self.spark, f"{self.path}/{name}")
+        if fs.exists(p):
             stored = self.spark.read.parquet(f"{self.path}/{name}")
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
             cols = ", ".join(f"`{k}`" for k in self.keys)
             self.spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({cols}) SORTED BY ({cols}, `{self.seq}`) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def forget(self) -> None:
+        """Take the log's table names out of the session; files and planned results stay."""
+        for name in (self.state["generation"], self.state.get("previous")):
+            if name:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _table(self) -> DataFrame:
+        name = self.state["generation"]
+        self._register(name)
         self.spark.catalog.refreshTable(name)
         # files of an append that never committed carry a run number that is not listed
         return self.spark.table(name).where(F.col(self.RUN).isin(self.state["runs"]))
@@ -114,37 +130,31 @@ class ChangeLog:
         live: Column = ~F.coalesce(F.col(self.deleted), F.lit(False))
         return self.merged().where(live).select(*self.state["columns"])
 
-    def compact(self) -> None:
+    def compact(self, purge_below: int | None = None) -> None:
         """Merge all runs into one base run of a new generation.
 
-        Tombstones stay: a later run may still deliver an older write of the same key.
+        Tombstones stay, as a later run may still deliver an older write of the same key;
+        those with a sequence below ``purge_below``, before which nothing more arrives, go.
         """
-        old = self.state["generation"]
+        old, older = self.state["generation"], self.state.get("previous")
         run = self.state["next_run"]
         generation = f"keyloom_{uuid.uuid4().hex}"
         merged = self.merged().withColumn(self.RUN, F.lit(run))
-        self._with_buckets(lambda: self._write(merged, generation))
-        self._commit(self.state | {"generation": generation, "runs": [run], "next_run": run + 1})
-        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
-        delete_path(self.spark, f"{self.path}/{old}")
-
-
-def apply_change_feed(changes: DataFrame, keys: list[str], seq: str, deleted: str, *, order: str, batches: int = 6, tie: list[str] | None = None, fan_in: int = 4) -> DataFrame:
-    """Replay ``changes`` batch by batch, in ranges of the numeric delivery order ``order``,
-    into a :class:`ChangeLog` and return its current rows. Rows with a null ``order`` belong
-    to the first batch."""
-    spark = changes.sparkSession
-    log = ChangeLog(spark, keys, seq, deleted, tie=tie or [order], fan_in=fan_in)
-    lo, hi = changes.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        lo = hi = 0
-    step = max(1, -(-(hi - lo + 1) // batches))
-    for b in range(batches):
-        start, end = lo + b * step, lo + (b + 1) * step
-        part = (F.col(order) >= start) & (F.col(order) < end)
-        if b == 0:
-            part = part | F.col(order).isNull()
-        elif start > hi:
-            break
-        log.append(changes.where(part))
-    return log.current()
+        if purge_below is not None:
+            merged = merged.where(~(F.coalesce(F.col(self.deleted), F.lit(False)) & (F.col(self.seq) < purge_below)))
+        self._write(merged, generation)
+        self._commit(self.state | {"generation": generation, "previous": old, "runs": [run], "next_run": run + 1})
+        if older:
+            self.spark.sql(f"DROP TABLE IF EXISTS {older}")
+            delete_path(self.spark, f"{self.path}/{older}")
+
+
+def apply_change_feed(changes: DataFrame, keys: list[str], seq: str, deleted: str, *, batches: int = 6, tie: list[str] | None = None, fan_in: int = 8) -> DataFrame:
+    """Write ``changes`` in one pass as ``batches`` runs of a :class:`ChangeLog` and return its
+    current rows. Each run holds what some of the tasks read, as writers that flush on their
+    own would; which run a change is in does not matter to the merge."""
+    log = ChangeLog(changes.sparkSession, keys, seq, deleted, tie=tie, fan_in=fan_in)
+    log.append(changes, F.pmod(F.spark_partition_id(), F.lit(batches)), batches)
+    current = log.current()
+    log.forget()
+    return current

@@ -20,6 +20,9 @@ from keyloom.sources.catalog import Catalog, ColumnMeta, IndexMeta, TableMeta, m
 from keyloom.sources.storage import ExternalStore, KeyBound, TableStore
 
 
+_STRINGS = re.compile(r"('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")", re.S)
+
+
 class Engine:
     """``root`` is the database folder; without it only registered files can be queried."""
 
@@ -67,18 +70,33 @@ class Engine:
         the highest ``order`` wins (without it, any one); ``unique`` promises unique keys and
         lets a table of one commit be read without a merge. Returns the transaction id."""
         meta = self.meta(name)
+        rows = self._checked(meta, df, {"__ord": F.col(order).cast("bigint")} if order else {})
+        if order:
+            low = rows.agg(F.min("__ord")).first()[0] or 0
+            rows = rows.withColumn("__ord", F.col("__ord") - F.lit(low))
+            return self._after_write(meta, self.store(meta).append(rows, ordinal="__ord", unique=unique, bulk=True))
+        return self._after_write(meta, self.store(meta).append(rows, unique=unique, bulk=True))
+
+    def apply_changes(self, name: str, df: DataFrame, batch: int, *, order: str | None = None, deleted: str | None = None) -> None:
+        """One micro-batch of upserts and deletes as one commit, applied once."""
+        meta = self.meta(name)
+        store = self.store(meta)
+        if not isinstance(store, TableStore):
+            raise EngineError(ErrorCode.SQL_UNSUPPORTED, f"{name} is read-only")
+        extra = {k: F.col(c) for k, c in (("__order", order), ("__gone", deleted)) if c}
+        rows = self._checked(meta, df, extra)
+        if store.append_changes(rows, batch, "__order" if order else None, "__gone" if deleted else None):
+            store.compact()
+
+    def _checked(self, meta: TableMeta, df: DataFrame, extra: dict) -> DataFrame:
         have = {c.lower(): c for c in df.columns}
         if missing := [k for k in meta.key if k not in have]:
             raise EngineError(ErrorCode.SQL_SYNTAX_ERROR, f"primary key column {missing[0]} is missing")
         picked = [checked(F.col(f"`{have[c.name]}`"), c.ctype, c.name, self.wide_long).alias(c.name) for c in meta.columns if c.name in have]
-        rows = df.select(*picked, *([F.col(order).cast("bigint").alias("__ord")] if order else []))
+        rows = df.select(*picked, *(c.alias(n) for n, c in extra.items()))
         for k in meta.key:
             rows = rows.withColumn(k, F.when(F.col(k).isNull(), F.raise_error(F.lit(f"null in primary key column {k}")).cast(rows.schema[k].dataType)).otherwise(F.col(k)))
-        if order:
-            low = rows.agg(F.min("__ord")).first()[0] or 0
-            rows = rows.withColumn("__ord", F.col("__ord") - F.lit(low))
-            return self._after_write(meta, self.store(meta).append(rows, ordinal="__ord", unique=unique))
-        return self._after_write(meta, self.store(meta).append(rows, unique=unique))
+        return rows
 
     def insert_many(self, name: str, rows: Sequence[dict]) -> int:
         """Many rows in one commit; later rows win over earlier ones of the same key."""
@@ -185,12 +203,15 @@ class Engine:
         else:
             kind = "range"
         self.catalog.add_index(meta, IndexMeta(stmt.name.lower(), kind, [c.name for c in columns]))
+        store = self.store(meta)
+        if kind == "range" and isinstance(store, TableStore):
+            store.compact(force=True)  # sorts what is stored by the new index
 
     def _drop(self, stmt: dialect.Drop) -> None:
         if stmt.kind == "keyspace":
             self.catalog.drop_keyspace(stmt.name[-1])
         elif stmt.kind == "index":
-            self.catalog.drop_index(stmt.name[-1].lower())
+            self.catalog.drop_index(stmt.name[-1].lower(), self.catalog.table(stmt.table) if stmt.table else None, stmt.name[0].lower() if len(stmt.name) > 1 else None)
         else:
             meta = self.catalog.table(stmt.name)
             store = self.store(meta)
@@ -202,11 +223,13 @@ class Engine:
     # -- other entry points ------------------------------------------------------------------------
     def spark_sql(self, text: str, **args: object) -> DataFrame:
         """Spark SQL over the current rows: every ``keyspace.table`` of the catalog is a view."""
+        parts = _STRINGS.split(text)  # every second part is a string or a quoted name
         for (ks, name), meta in self.catalog.tables.items():
             spelled = re.compile(rf"\b{re.escape(ks)}\s*\.\s*{re.escape(name)}\b", re.I)
-            if spelled.search(text):
+            if any(spelled.search(p) for p in parts[::2]):
                 self.store(meta).view().createOrReplaceTempView(f"{ks}__{name}")
-                text = spelled.sub(f"{ks}__{name}", text)
+                parts[::2] = [spelled.sub(f"{ks}__{name}", p) for p in parts[::2]]
+        text = "".join(parts)
         return self.spark.sql(text, args=args or None)
 
     def knn(self, name: str, column: str, query: Sequence[float], k: int, metric: str = "cosine") -> DataFrame:

@@ -14,7 +14,7 @@ CHANGE_KEY = ["table_id", "pk_1", "pk_2"]
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:
-    return apply_change_feed(read_table(spark, d, "row_changes"), CHANGE_KEY, "tx_id", "deleted", order="change_id")
+    return apply_change_feed(read_table(spark, d, "row_changes"), CHANGE_KEY, "tx_id", "deleted", tie=["change_id"])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -174,14 +174,19 @@ class Catalog:
             meta.sort_by = index.columns
         self.save()
 
-    def drop_index(self, name: str) -> None:
-        for meta in self.tables.values():
-            kept = [i for i in meta.indexes if i.name != name]
-            if len(kept) != len(meta.indexes):
-                meta.indexes = kept
-                self.save()
-                return
-        raise unknown(f"index {name} not exist")
+    def drop_index(self, name: str, table: TableMeta | None = None, keyspace: str | None = None) -> None:
+        """Drop an index of ``table``; without a table its name must be that of one only, in
+        the keyspace or anywhere."""
+        owners = [m for m in ([table] if table else self.tables.values()) if any(i.name == name for i in m.indexes) and keyspace in (None, m.keyspace)]
+        if not owners:
+            raise unknown(f"index {name} not exist")
+        if len(owners) > 1:
+            raise ddl(f"index {name} exists in several tables; name the table")
+        meta = owners[0]
+        meta.indexes = [i for i in meta.indexes if i.name != name]
+        ranges = [i for i in meta.indexes if i.kind == "range"]
+        meta.sort_by = ranges[-1].columns if ranges else []
+        self.save()
 
 
 def declared_tables(columns: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import SparkSession
 from keyloom.runtime import hadoop_path
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has published the version first."""
+
+
 def _versions(spark: SparkSession, folder: str) -> list[int]:
     fs, p = hadoop_path(spark, folder)
     if not fs.exists(p):
@@ -45,10 +49,10 @@ def commit_manifest(spark: SparkSession, folder: str, version: int, content: dic
     fs, tmp = hadoop_path(spark, f"{folder}/.tmp-{uuid.uuid4().hex}")
     _, final = hadoop_path(spark, f"{folder}/v{version:012d}.json")
     if fs.exists(final):
-        raise RuntimeError(f"version {version} is already committed in {folder}")
+        raise CommitConflict(f"version {version} is already committed in {folder}")
     out = fs.create(tmp, True)
     out.write(bytearray(json.dumps(content).encode()))
     out.close()
     if not fs.rename(tmp, final):
         fs.delete(tmp, False)
-        raise RuntimeError(f"version {version} was committed by another writer in {folder}")
+        raise CommitConflict(f"version {version} was committed by another writer in {folder}")

@@ -1,37 +1,22 @@
-"""Structured Streaming into a keyed table: every micro-batch is one upsert or delete commit."""
+"""Structured Streaming into a keyed table: every micro-batch is one commit."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from keyloom.operators.changefeed import newest_per_key
 from keyloom.plans.engine import Engine
-from keyloom.sources.storage import TableStore
 
 
 def apply_batch(engine: Engine, table: str, batch: DataFrame, batch_id: int, order: str | None = None, deleted: str | None = None) -> None:
-    """Commit one micro-batch; a batch that was committed before a restart is left out."""
-    meta = engine.meta(table)
-    store = engine.store(meta)
-    if not isinstance(store, TableStore):
-        raise ValueError(f"{table} is read-only")
-    if store.state.get("last_batch", -1) >= batch_id:
-        return
-    if order:
-        batch = newest_per_key(batch, meta.key, order)
-    if deleted:
-        gone = batch.where(F.coalesce(F.col(deleted), F.lit(False))).select(*meta.key)
-        engine.insert_df(table, batch.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted))
-        store.append(gone, deleted=True)
-    else:
-        engine.insert_df(table, batch)
-    store._publish(store.state | {"last_batch": batch_id})
+    """Commit the upserts and deletes of one micro-batch at once; a batch that was committed
+    before a restart is left out. With ``order`` the change with the highest order decides,
+    also against changes of other batches; a null order loses against every number."""
+    engine.apply_changes(table, batch, batch_id, order=order, deleted=deleted)
 
 
 def start_ingest(engine: Engine, table: str, stream: DataFrame, checkpoint: str, *, order: str | None = None, deleted: str | None = None, once: bool = False) -> StreamingQuery:
-    """Start writing ``stream`` into ``table``. ``order`` decides between changes of one key in
-    a micro-batch, ``deleted`` marks tombstones."""
+    """Start writing ``stream`` into ``table``. ``order`` decides between changes of one key,
+    whatever batch they come in; ``deleted`` marks tombstones."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: apply_batch(engine, table, df, i, order, deleted))
     return (writer.trigger(availableNow=True) if once else writer).start()

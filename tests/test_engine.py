@@ -240,3 +240,92 @@ def test_streaming_ingest(db, spark, tmp_path):
     before = len(db.zone_map("ks1.t"))
     apply_batch(db, "ks1.t", spark.createDataFrame([(9, 9)], "k long, n int"), 0)  # already applied
     assert len(db.zone_map("ks1.t")) == before
+
+
+def test_two_engines_write_in_turn(db, spark, tmp_path):
+    from keyloom.plans.engine import Engine
+
+    db.sql("create table ks1.shared (k long, v varchar, primary key (k))")
+    db.sql("insert into ks1.shared (k, v) values (1, 'a')")
+    other = Engine(spark, f"file://{tmp_path}/db")
+    other.sql("insert into ks1.shared (k, v) values (2, 'b')")
+    db.sql("insert into ks1.shared (k, v) values (3, 'c')")
+    other.sql("insert into ks1.shared (k, v) values (1, 'd')")
+    expected = [(1, "d"), (2, "b"), (3, "c")]
+    assert rows(db.view("ks1.shared")) == rows(other.view("ks1.shared")) == expected
+
+
+def test_results_survive_compaction_until_vacuum(db):
+    db.sql("create table ks1.kept (k long, primary key (k))")
+    for i in range(4):
+        db.sql(f"insert into ks1.kept (k) values ({i})")
+    planned = db.view("ks1.kept")
+    assert db.compact("ks1.kept")
+    assert rows(planned) == [(i,) for i in range(4)]
+    store = db.store(db.meta("ks1.kept"))
+    assert store.vacuum() == 0 and store.vacuum(0) == 4
+    assert rows(db.view("ks1.kept")) == [(i,) for i in range(4)]
+
+
+def test_late_changes_lose_and_batches_count_once(db, spark):
+    from keyloom.streaming.ingest import apply_batch
+
+    db.sql("create table ks1.late (k long, v varchar, primary key (k))")
+    schema = "k long, v string, seq long, gone boolean"
+
+    def batch(i, *data):
+        apply_batch(db, "ks1.late", spark.createDataFrame(data, schema), i, order="seq", deleted="gone")
+
+    batch(0, (1, "new", 10, False), (2, "x", 3, False), (3, "y", 1, None))
+    batch(1, (1, "old", 5, False), (2, None, 7, True))
+    batch(2, (2, "late", 6, False), (3, "z", None, False))
+    batch(2, (3, "twice", 99, False))
+    assert rows(db.view("ks1.late").select("k", "v")) == [(1, "new"), (3, "y")]
+    db.compact("ks1.late")
+    batch(3, (2, "later", 5, False))  # older than the delete, which compaction kept
+    assert rows(db.view("ks1.late").select("k", "v")) == [(1, "new"), (3, "y")]
+
+
+def test_point_lookups_open_one_file(db, spark):
+    db.sql("create table ks1.wide (k long, v varchar, primary key (k)) ")
+    db.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        db.insert_df("ks1.wide", spark.range(20_000).selectExpr("id as k", "cast(id as string) as v"), unique=True)
+    finally:
+        db.spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    entry = db.store(db.meta("ks1.wide")).zone_map()[0]
+    assert len(entry["files"]) >= 2
+    got = db.sql("select * from ks1.wide where k = 777")
+    assert len(got.inputFiles()) == 1 and rows(got) == [(777, "777")]
+
+
+def test_registered_files_with_native_times_and_negative_keys(db, spark, tmp_path):
+    path = str(tmp_path / "times")
+    spark.sql("select -5L as k, timestamp_ntz'2024-01-02 00:00:00.001' as t union all select 7L, timestamp_ntz'2023-05-01 00:00:00'").write.parquet(path)
+    db.register_parquet("ks1.times", path, ["k", "t"], range_idx=True)
+    got = db.sql("select k from ks1.times where k = -5 and t > 1704153600000")
+    assert rows(got) == [(-5,)]
+    assert "PushedFilters: [" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "GreaterThan(t" in plan
+    assert rows(db.sql("select k from ks1.times where k >= -9 and t in (1682899200000)")) == [(7,)]
+
+
+def test_permissive_scans_and_swallowed_words(spark, tmp_path):
+    from keyloom.errors import EngineError
+    from keyloom.plans.engine import Engine
+
+    e = Engine(spark, f"file://{tmp_path}/permissive", strict=False)
+    e.sql("create keyspace k")
+    e.sql("create table k.t (a long, b long, v varchar, primary key (a))")
+    e.sql("create table k.u (a long, b long, primary key (a))")
+    e.sql("insert into k.t (a, b, v) values (1, 3, 'x'), (2, 1, 'y')")
+    assert rows(e.sql("select a from k.t where v = 'x'")) == [(1,)]
+    for bad in ("create index i on k.t (b desc)", "create table k.w (a long, v varchar not null, primary key (a))"):
+        with pytest.raises(EngineError):
+            e.sql(bad)
+    e.sql("create index i on k.t (b)")
+    e.sql("create index i on k.u (b)")
+    with pytest.raises(EngineError):
+        e.sql("drop index i")
+    e.sql("drop index i on k.t")
+    assert not e.meta("k.t").indexes and e.meta("k.u").indexes
+    assert e.spark_sql("select 'k.t' as s, count(*) as n from k.t").first().asDict() == {"s": "k.t", "n": 2}

@@ -45,20 +45,20 @@ def found(df):
 def test_feed_out_of_order_and_repeated(spark):
     data = random_feed(400, 1)
     data += [(1000 + i, *c[1:]) for i, c in enumerate(data[::5])]
-    got = apply_change_feed(feed(spark, data), ["k1", "k2"], "tx", "gone", order="change_id", batches=5, fan_in=2)
+    got = apply_change_feed(feed(spark, data), ["k1", "k2"], "tx", "gone", tie=["change_id"], batches=5, fan_in=2)
     assert found(got) == current(data)
     assert got.columns == [c.split()[0] for c in FEED.split(", ")]
 
 
 def test_feed_nulls_and_ties(spark):
     data = [(0, None, 1, 5, False, None, None), (1, None, 1, 4, True, "x", 1), (2, 1, None, None, False, "n", 2), (3, 1, None, 0, None, "m", 3), (4, 2, 2, 9, False, "first", 4), (None, 2, 2, 9, False, "first", 4), (5, 3, 3, None, None, None, None)]
-    got = apply_change_feed(feed(spark, data), ["k1", "k2"], "tx", "gone", order="change_id", batches=2)
+    got = apply_change_feed(feed(spark, data), ["k1", "k2"], "tx", "gone", tie=["change_id"], batches=2)
     assert found(got.where("tx is not null")) == [(-1, 1, 5), (1, -1, 0), (2, 2, 9)]
     assert got.where("tx is null").count() == 1
 
 
 def test_feed_empty_and_reserved_name(spark):
-    assert apply_change_feed(feed(spark, []), ["k1", "k2"], "tx", "gone", order="change_id").count() == 0
+    assert apply_change_feed(feed(spark, []), ["k1", "k2"], "tx", "gone", tie=["change_id"]).count() == 0
     log = ChangeLog(spark, ["k1"], "tx", "gone")
     with pytest.raises(ValueError):
         log.current()
@@ -81,6 +81,25 @@ def test_log_reopens_compacts_and_reads_without_exchange(spark):
     assert all((k1, k2) != (7, 0) for k1, k2, _ in found(again.current()))
 
 
+def test_feed_leaves_no_table_and_reads_once(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    data = random_feed(200, 5)
+    got = apply_change_feed(feed(spark, data).repartition(6), ["k1", "k2"], "tx", "gone", tie=["change_id"])
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert found(got) == current(data)
+
+
+def test_compaction_purges_and_keeps_readers(spark):
+    log = ChangeLog(spark, ["k1"], "tx", "gone", fan_in=10)
+    rows_ = [(1, 1, 0, 1, False, "a", 1), (2, 2, 0, 2, True, None, 1), (3, 3, 0, 9, True, None, 1)]
+    log.append(feed(spark, rows_[:2]))
+    log.append(feed(spark, rows_[2:]))
+    planned = log.current()
+    log.compact(purge_below=5)
+    assert [r.k1 for r in planned.collect()] == [1]  # planned before the compaction
+    assert sorted(r.k1 for r in log.merged().collect()) == [1, 3]
+
+
 KEYED = "t long, k long, s long, q long, n_rows string"
 
 
