@@ -1,10 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keyloom.llm.seen import EliasFano, SeenSet, error_rate, seen_before
+from keyloom.llm.seen import EliasFano, KeyMemory, SeenSet, error_rate, seen_before
 
 NAMES = ("arrival_id", "table_id", "primary_key", "key_vector")
 SCHEMA = "arrival_id long, table_id long, primary_key long, key_vector array<long>, h string, a int"
@@ -79,3 +80,31 @@ def test_nulls_ties_and_order(spark):
     late = spark.createDataFrame([(None, 1, 5, None, None, None), (1, 1, 5, None, None, None)], SCHEMA)
     assert answers(late) == [1]
     assert answers(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_probes_decode_only_what_they_touch():
+    rng = np.random.default_rng(2)
+    v = np.unique(rng.integers(0, 2**60, 1_000_000, dtype=np.uint64))
+    ef = EliasFano(v, 60)
+    again = EliasFano.stored(ef.n, ef.bits, ef.unary.tobytes(), ef.words.tobytes())
+    p = np.sort(np.concatenate([v[::200], rng.integers(0, 2**60, 5_000, dtype=np.uint64)]))
+    tracemalloc.start()
+    hit = again.contains(p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (hit == np.isin(p, v)).all()
+    assert peak + again.nbytes() < 8 * len(v)
+
+
+def test_memory_answers_the_next_batch_without_the_first(spark):
+    r = random.Random(6)
+    data = [(i, r.randrange(2), r.randrange(300), None if r.random() < 0.5 else [r.randrange(300), r.randrange(2)], "x", 1) for i in range(1500)]
+    memory = KeyMemory(spark, part_bits=4)
+    got = []
+    for s in (0, 600, 600, 1200):  # the second batch is empty
+        e = {0: 600, 1200: 1500}.get(s, 600 if len(got) == 1 else 1200)
+        batch = spark.createDataFrame(data[s:e], SCHEMA).repartition(3)
+        got.append(sorted(x[0] for x in memory.observe(batch, *NAMES).collect()))
+        memory = KeyMemory(spark, memory.path)  # reopened
+    assert got[1] == [] and sorted(sum(got, [])) == brute(data)
+    assert memory.n_keys() == 1500 - len(brute(data))
