@@ -45,13 +45,14 @@ def p3_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of the new segments: records, repeated records, tables that share a file,
-    and whether there are fewer files than source segments."""
+    and no more files than one a table and two for each full file's worth of bytes."""
     job = SegmentCompactor(spark)
-    report = job.run(read_table(spark, d, "segment_metas"), read_table(spark, d, "segment_rows"))
+    job.run(read_table(spark, d, "segment_metas"), read_table(spark, d, "segment_rows"))
     records = job.read()
     per_bin = bin_layout(records).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_records"), F.max("n_tables").alias("tables_a_file"))
     repeated = records.groupBy("meta_id", "idx").count().where("count > 1").agg(F.count(F.lit(1)).alias("n_repeated"))
-    return per_bin.crossJoin(repeated).select("n_records", "n_repeated", "tables_a_file", (F.col("n_files") * 10 <= report.segments).alias("ten_times_fewer"))  # two single rows
+    whole = records.agg((F.countDistinct("table_id") + 2 * F.sum(F.expr(job.WIDTH)) / job.target_bytes).alias("allowed"))
+    return per_bin.crossJoin(repeated).crossJoin(whole).select("n_records", "n_repeated", "tables_a_file", (F.col("n_files") <= F.col("allowed")).alias("few_files"))  # three single rows
 
 
 def p3_layout(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +81,7 @@ ORACLES = {
         ON r.segment_id = m.segment_id WHERE m.has_summary""",
     "p3_vectors": """SELECT m.meta_id, v.idx, max(v.vec_id) AS vec_id FROM segment_metas m JOIN vectors v
         ON v.segment_id = m.segment_id WHERE m.has_summary GROUP BY m.meta_id, v.idx""",
-    "p3_checks": """SELECT count(*) AS n_records, 0 AS n_repeated, 1 AS tables_a_file, true AS ten_times_fewer FROM
+    "p3_checks": """SELECT count(*) AS n_records, 0 AS n_repeated, 1 AS tables_a_file, true AS few_files FROM
         (SELECT DISTINCT m.meta_id, r.idx FROM segment_metas m JOIN segment_rows r ON r.segment_id = m.segment_id WHERE m.has_summary)""",
     "p5_found": """SELECT table_id, pk_1 FROM row_changes GROUP BY table_id, pk_1
         HAVING count(*) >= 0.01 * (SELECT count(*) FROM row_changes)""",
