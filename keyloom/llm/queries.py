@@ -44,13 +44,14 @@ def p7_fill_rate(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_checks(spark: SparkSession, d: str) -> DataFrame:
     """What must hold of the containers of each capacity: every document is placed, none above
-    the capacity, token ranges of a document without gap or overlap, few tokens unused."""
+    the capacity, token ranges of a document without gap or overlap, and at most 5 % unused beside one last
+    container."""
     placed = p7_containers(spark, d)
     w = Window.partitionBy("limit_id", "doc_id").orderBy("start_token", "n_tokens")
     gap = F.col("start_token") != F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = placed.withColumn("gap", gap).groupBy("limit_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.count_if("gap").alias("n_gaps"))
     over = placed.where("container IS NOT NULL").groupBy("limit_id", "container").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(read_table(spark, d, "pack_limits")), "limit_id")
-    full = over.groupBy("limit_id").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("n_over"), (F.sum("used") / F.sum("capacity_tokens") >= 0.95).alias("well_filled"))
+    full = over.groupBy("limit_id").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("n_over"), (F.sum("used") >= 0.95 * (F.sum("capacity_tokens") - F.max("capacity_tokens"))).alias("well_filled"))
     return per.join(full, "limit_id").select("limit_id", "n_docs", "n_gaps", "n_over", "well_filled")
 
 
