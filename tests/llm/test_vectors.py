@@ -216,6 +216,63 @@ def test_every_pair_of_a_bucket_is_compared(spark, block_rows):
     assert got == {(i, n + i) for i in range(n)}
 
 
+def full_markov(data, p):
+    """The clusters of a flow over all similar pairs, from which nothing is pruned."""
+    s = cosines(data)
+    m = np.where(s >= p.threshold - 1e-12, s, 0)
+    for n in range(30):
+        m = m / m.sum(axis=0)
+        m = (m @ m) ** (p.inflation if n < p.mixing else p.sharpening)
+    out = {}
+    for j, i in enumerate((m / m.sum(axis=0)).round(6).argmax(axis=0)):
+        out.setdefault(i, set()).add(data[j][0])
+    return {frozenset(c) for c in out.values()}
+
+
+def hubs(rng, d=12):
+    """Three dense groups about 30 degrees apart, some of whose members are similar."""
+    centres = np.zeros((3, d))
+    centres[:, 0], centres[[0, 1, 2], [1, 2, 3]] = np.cos(0.36), np.sin(0.36)
+    return np.vstack([c + 0.045 * rng.standard_normal((n, d)) for c, n in zip(centres, (60, 45, 30), strict=True)])
+
+
+def test_no_similar_pair_is_left_out(spark):
+    """Tight groups, where links that only connect are far fewer than the pairs, and pairs at 0.9
+    exactly, which single precision puts below."""
+    rng = np.random.default_rng(12)
+    d = 40
+    tight = [rng.standard_normal(d) + 0.02 * rng.standard_normal((n, d)) for n in (150, 40, 9)]
+    at = np.zeros((6, d))
+    at[::2, 0], at[1::2, 0] = 10, 9
+    at[1, 1:20] = at[3, 3:22] = at[5, 5:24] = 1
+    x = np.vstack([*tight, rng.standard_normal((100, d)), at * [[1], [3], [1.7], [7], [0.3], [1]]])
+    data, _ = frame(spark, [(1, 1, x)])
+    df = spark.createDataFrame([("a", r[0], r[4]) for r in data], "g string, id long, vec array<float>")
+    close = np.triu(cosines(data) >= 0.9 - 1e-12, 1)
+    truth = {(int(i), int(j)) for i, j in zip(*np.nonzero(close), strict=True)}
+    for rows in (37, 2000):
+        p = ClusterParams(block_rows=rows, bucket_rows=50)
+        got = similarity_graph(df.repartition(3), p)
+        assert {(r.a, r.b) for r in got.collect()} == truth and got.count() == len(truth)
+
+
+def test_attractors_that_lead_on(spark):
+    """1 leads to 2, 2 to 3, which stays: an end although the smaller id comes first."""
+    flow = spark.createDataFrame([(2, 1, 1.0), (3, 2, 1.0), (3, 3, 1.0), (9, 8, 1.0), (8, 9, 1.0)], "i long, j long, v double")
+    assert {tuple(r) for r in markov_clusters(flow).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+
+
+@pytest.mark.parametrize("rows", [3000, 50])
+def test_every_pair_takes_part_in_the_flow(spark, rows):
+    """As one matrix, and in sets of columns."""
+    rng = np.random.default_rng(13)
+    data, df = frame(spark, [(1, 1, np.vstack([hubs(rng), rng.standard_normal((20, 12))]))])
+    sets = {}
+    for r in VectorClusters(df, ClusterParams(dense_rows=rows)).labels.collect():
+        sets.setdefault(r.label, set()).add(r.id)
+    assert {frozenset(c) for c in sets.values()} == {c for c in full_markov(data, ClusterParams()) if len(c) > 1}
+
+
 def test_thin_links_connect_what_the_pairs_connect():
     rng = np.random.default_rng(6)
 
